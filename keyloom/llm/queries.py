@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, digest_index, packing, token_counts
+from . import bpe_codec, digest_index, license_scan, packing, token_counts
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(read_table(spark, sf_dir, "documents"))
+
+
 def word_bpe_path() -> str:
     import public_tokenizers
 
@@ -39,6 +43,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_packing": op5_packing,
+    "op7_license_scan": op7_license_scan,
     "op8_bpe_codec": op8_bpe_codec,
     "op10_token_counts": op10_token_counts,
 }
