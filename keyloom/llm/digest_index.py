@@ -111,9 +111,9 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     The survivors are a list of (id, digest); texts move once, to meet it.
     """
     verdict = materialize(docs.sparkSession, deduplicate(docs), "verdicts")
-    stay = verdict.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    marked = docs.withColumn("_key", digest_of(F.coalesce(F.col("text"), F.lit(""))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest"))
+    stay = verdict.where("kept").select(F.col("doc_id").alias("_keyloom_id"), F.col("digest").alias("_keyloom_kept"))
+    marked = docs.withColumn("_keyloom_digest", digest_of(F.coalesce(F.col("text"), F.lit(""))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keyloom_id")) & (F.col("_keyloom_digest") == F.col("_keyloom_kept"))
     kept = marked.join(stay, same, "left_semi")
     repeats = verdict.groupBy("doc_id", "digest").count().where("count > 1")
-    return (kept.dropDuplicates(["doc_id", "_key"]) if not repeats.isEmpty() else kept).drop("_key")
+    return (kept.dropDuplicates(["doc_id", "_keyloom_digest"]) if not repeats.isEmpty() else kept).drop("_keyloom_digest")

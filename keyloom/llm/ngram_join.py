@@ -417,6 +417,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     The document that stays has the smallest id of its component; rows with a
     null id stay, and so do all rows that repeat the id that stays.
     """
-    stay = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == F.col("_stay"), "left_semi")
+    stay = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keyloom_stay")).distinct()
+    kept = docs.join(stay, docs["doc_id"] == F.col("_keyloom_stay"), "left_semi")
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
