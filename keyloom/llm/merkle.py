@@ -55,23 +55,24 @@ def tree_text(tree: Column) -> Column:
 
 
 def root_of(tree: Column, text_sha: Column) -> Column:
-    """Leaves -> paragraphs -> sections -> root; the text's own digest makes equal roots mean equal texts."""
-    nodes = F.transform(tree, lambda p: _short(F.array_join(p, ","), 16))
-    n_sections = F.greatest(F.lit(1), F.ceil(F.size(nodes) / SECTION)).cast("int")
-    sections = F.transform(F.sequence(F.lit(0), n_sections - 1), lambda k: _short(F.array_join(F.slice(nodes, k * SECTION + 1, F.lit(SECTION)), "."), 16))
+    """Leaves -> paragraphs -> sections -> root; the text's own digest makes equal roots mean equal texts.
+
+    Sections are cut from the joined paragraph nodes by a pattern: a lambda that
+    reaches for a column of the row would compute it again for each element.
+    """
+    nodes = F.array_join(F.transform(tree, lambda p: _short(F.array_join(p, ","), 16)), "")
+    sections = F.transform(F.regexp_extract_all(nodes, F.lit(rf"(?:[0-9a-f]{{16}}){{1,{SECTION}}}"), F.lit(0)), lambda s: _short(s, 16))
     return F.sha2(F.concat_ws("|", F.array_join(sections, "|"), text_sha).cast("binary"), 256)
 
 
 def _counted(tree: Column) -> Column:
     """Each leaf with its turn among equal ones, so that sets of these behave as multisets.
 
-    Only texts that repeat a leaf pay for it: their leaves are sorted, and a
-    leaf's turn is its distance from the first equal one.
+    Runs of equal leaves are found by a pattern over the sorted, joined leaves.
     """
-    flat = F.flatten(tree)
-    ordered = F.array_sort(flat)
-    turned = F.transform(ordered, lambda x, i: F.concat(x, F.lit("#"), (i - F.array_position(ordered, x) + 1).cast("string")))
-    return F.when(F.size(F.array_distinct(flat)) == F.size(flat), F.transform(flat, lambda x: F.concat(x, F.lit("#0")))).otherwise(turned)
+    joined = F.array_join(F.array_sort(F.flatten(tree)), "")
+    runs = F.regexp_extract_all(joined, F.lit(r"([0-9a-f]{8})\1*+"), F.lit(0))
+    return F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), (F.length(r) / 8).cast("int")), lambda j: F.concat(F.left(r, F.lit(8)), F.lit("#"), j.cast("string")))))
 
 
 def likeness(left: Column, right: Column) -> Column:
