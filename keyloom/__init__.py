@@ -1,0 +1,3 @@
+"""Keyed-table queries and training-data operators on Spark."""
+
+__version__ = "0.1.0"
