@@ -10,21 +10,27 @@ named by a 64-bit hash of the set, and only classes are joined.
    reported at once, so a shingle reaches its bucket once a slice at most, however
    many texts hold it. Each bucket reports the classes of shingles seen twice.
    A shingle of a single class can't be in any intersection.
-2. **Prefixes.** The order of shingles is: unshared ones first, then by hash. A
-   class needs ``n - ceil(0.75 n) + 1`` prefix shingles; where its unshared ones
-   are as many, it links with nothing. Shared shingles that many prefixes hold
-   are *frequent*; these are dealt into groups by a hash, as many as fit the size
-   of the set, and indexed as pairs within a group. With c members of a group
-   in the prefix, all pairs failing to match means c - 1 or more members missing,
-   so each group in use lengthens the prefix by one. Rare ones are indexed alone.
-   The number of groups depends on the size level (steps of 4/3); a class is
-   indexed at its level and the next, so two that may link share a level.
+2. **Prefixes.** The order of shingles is: unshared ones first, then by hash. Sets
+   of sizes n and m that link have ``ceil(3 (n + m) / 7)`` shingles in common, so
+   sizes are split into levels (steps of 1.1), a class is indexed apart for each
+   level its partners may have, and for each needs a prefix of ``n - ceil(3 (n +
+   least m) / 7) + 1`` shingles: a quarter of the set for the smallest partners, a
+   seventh for its own size. Where its unshared shingles are as many, it has no
+   partner there. Shared shingles that many prefixes hold are *frequent*; these
+   are dealt into groups by a hash, as many as fit the sizes, and indexed as pairs
+   within a group. With c members of a group in the prefix, all pairs failing to
+   match means c - 1 or more members missing, so each group in use lengthens the
+   prefix by one. Rare ones are indexed alone.
 3. **Candidates and verification.** Classes that share an index entry are
    verified on their shared shingles, which hold the whole intersection. First
-   each entry's classes meet its smallest class only (a star); what links joins
-   into components. Then classes of one entry that are still in different
-   components meet, all of them, so no component is missed, while a large group
-   of near copies costs as many rows as it has members.
+   each entry's classes meet one hub only (a star): the class with the least
+   unshared shingles, which is what the original of a group of copies has. What
+   links joins into components. Then classes of one entry that are still in
+   different components meet, all of them, so no component is missed. Entries of
+   more than ``CROWD`` such classes are not written out as pairs: the classes that
+   they hold together are dealt into blocks of ``BLOCK``, and each pair of blocks
+   counts all its common shingles by a matrix product, and returns only links that
+   join something. So a large group costs rows in proportion to its members.
 
 Shingles are compared by 40 + log2(buckets) bits of a 64-bit hash of their words
 (at least 46): two texts of 1,000 shingles get a false common one with odds of
@@ -62,6 +68,11 @@ LOW_BITS = 40
 FREQUENT = 24
 #: Set size for each group of frequent shingles.
 GROUP_SIZE = 16
+#: Classes of an entry, not yet in one component, from which blocks take the place of pairs.
+CROWD = 24
+BLOCK = 512
+#: Shingles that a block's matrix takes in at once.
+BLOCK_COLUMNS = 4096
 
 _FACTORS = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -213,50 +224,67 @@ def required(n: int) -> int:
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1
 
 
+#: Least size of each level; a level's sizes lie within a factor of 1.1.
+_LEVELS = np.unique(np.ceil(1.1 ** np.arange(320) - 1e-9).astype(np.int64))
+
+
 def size_level(n: int) -> int:
-    """Levels whose sizes grow by 4/3; sets that may link are at most one level apart."""
-    return int(math.floor(math.log(max(n, 1)) / math.log(DENOMINATOR / NUMERATOR) + 1e-9))
+    return int(np.searchsorted(_LEVELS, n, side="right")) - 1
+
+
+def partner_needs(n: int) -> list[tuple[int, int]]:
+    """(level, prefix shingles needed) for each level that may hold a partner of a set of n."""
+    least, most = -(-NUMERATOR * n // DENOMINATOR), DENOMINATOR * n // NUMERATOR
+    out = []
+    for level in range(size_level(least), size_level(most) + 1):
+        partner = max(int(_LEVELS[level]), least)
+        # equal to 3 / 7 of both sizes: the overlap that a likeness of 3 / 4 takes
+        overlap = -(-NUMERATOR * (n + partner) // (NUMERATOR + DENOMINATOR))
+        if overlap <= n:
+            out.append((level, n - overlap + 1))
+    return out
 
 
 def index_entries(n: int, shared: np.ndarray, frequent: np.ndarray, n_shared: int) -> np.ndarray:
-    """Index entries of a set of ``n`` with ``n_shared`` shared shingles, at its level and the next.
+    """Index entries of a set of ``n`` with ``n_shared`` shared shingles, for all levels of partners.
 
     ``shared``: the shared shingles ascending, at least as far as a prefix reaches.
     """
-    need = required(n) - (n - n_shared)
-    if need <= 0:
-        return np.zeros(0, dtype=np.int64)
-    out: set[int] = set()
-    level = size_level(n)
-    for lv in (level, level + 1):
-        groups = max(1, int((DENOMINATOR / NUMERATOR) ** lv / GROUP_SIZE))
+    own, parts = size_level(n), [np.zeros(0, dtype=np.int64)]
+    for level, needed in partner_needs(n):
+        need = needed - (n - n_shared)
+        if need <= 0:
+            continue
+        low, high = min(own, level), max(own, level)
+        if not frequent[:need].any():
+            parts.append(_entry(shared[:need], np.zeros(1, np.int64), low, high))
+            continue
+        groups = max(1, int(_LEVELS[high]) // GROUP_SIZE)
         slot = (mix(shared.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
         members: dict[int, list[int]] = {}
-        done = 0
+        done, left, right = 0, [], []
         for token, often, g in zip(shared.tolist(), frequent.tolist(), slot.tolist(), strict=True):
             if done >= need:
                 break
             if not often:
-                out.add(token)
+                left.append(token)
+                right.append(0)
                 done += 1
                 continue
             held = members.setdefault(g, [])
-            out.update(_pair(a, token, lv) for a in held)
+            left += held
+            right += [token] * len(held)
             done += bool(held)
             held.append(token)
         # only sets of one shingle end short of what they need, and those link with nothing but their own class
-    return np.fromiter(out, dtype=np.int64, count=len(out))
-
-
-_M = (1 << 64) - 1
+        parts.append(_entry(np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), low, high))
+    return np.concatenate(parts)
 
 
-def _pair(a: int, b: int, level: int) -> int:
-    """A negative number for a pair of shingles at a level."""
-    h = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + level * 0x165667B19E3779F9) & _M
-    h ^= h >> 29
-    h = (h * 0xBF58476D1CE4E5B9) & _M
-    return -(1 << 62) - ((h ^ (h >> 32)) & ((1 << 61) - 1))
+def _entry(left: np.ndarray, right: np.ndarray, low: int, high: int) -> np.ndarray:
+    """A number for a shingle, or a pair of shingles, between two levels."""
+    h = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mix(h ^ mix(np.full(1, low * 4096 + high + 1, dtype=np.uint64))).view(np.int64)
 
 
 def _need(n, shared):
@@ -276,7 +304,7 @@ def candidate_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def index_table(candidates: DataFrame) -> DataFrame:
-    """(entry, key, n): the prefix index."""
+    """(entry, key, n, spare): the prefix index; ``spare``: unshared shingles in a thousand."""
     # as far as a prefix can reach: a group costs one more, and there are n / 12 at most
     reach = (_need(F.col("n"), F.size("tokens")) + F.floor(F.col("n") / 12) + 3).cast("int")
     rows = candidates.select("key", "n", F.explode(F.slice("tokens", F.lit(1), reach)).alias("token"))
@@ -287,18 +315,19 @@ def index_table(candidates: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, entries = [], [], []
+            keys, sizes, spares, entries = [], [], [], []
             for key, n, tokens, often, shared in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "tokens", "often", "shared")), strict=True):
                 # the reach is a prefix of the shared shingles: the unshared ones are n - shared
                 got = index_entries(n, np.array(tokens, dtype=np.int64), np.array(often, dtype=bool), shared)
                 keys.append(np.full(len(got), key, dtype=np.int64))
                 sizes.append(np.full(len(got), n, dtype=np.int64))
+                spares.append(np.full(len(got), 1000 * (n - shared) // n, dtype=np.int64))
                 entries.append(got)
             none = [np.zeros(0, dtype=np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + x)) for x in (entries, keys, sizes)], names=["entry", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + x)) for x in (entries, keys, sizes, spares)], names=["entry", "key", "n", "spare"])
 
     shaped = whole.select("key", "n", F.col("prefix.token").alias("tokens"), F.col("prefix.often").alias("often"), "shared")
-    return materialize(candidates.sparkSession, shaped.mapInArrow(run, "entry long, key long, n long"), "index")
+    return materialize(candidates.sparkSession, shaped.mapInArrow(run, "entry long, key long, n long, spare long"), "index")
 
 
 def verify(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -313,11 +342,7 @@ def verify(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
 def _with_components(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return entries.withColumn("comp", F.col("key"))
-    return entries.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("entry", "key", "n", F.coalesce("root", "key").alias("comp"))
-
-
-def _level(n: str):
-    return F.floor(F.log(F.col(n)) / math.log(DENOMINATOR / NUMERATOR) + 1e-9)
+    return entries.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("entry", "key", "n", "spare", F.coalesce("root", "key").alias("comp"))
 
 
 def _mixed(entries: DataFrame) -> DataFrame:
@@ -329,61 +354,149 @@ def _mixed(entries: DataFrame) -> DataFrame:
 def star_pairs(entries: DataFrame) -> DataFrame:
     """Each class with the one hub that it shares most entries with: (a, b).
 
-    Members of an entry meet the smallest class of the entry and of two
-    neighbouring size levels; hubs of their own component don't count.
+    The hub of an entry is its class with the least unshared shingles; hubs of
+    the class's own component don't count.
     """
-    level = _level("n")
-    grouped = entries.select("*", F.explode(F.array(F.floor(level / 2) * 2, F.floor((level + 1) / 2) * 2 + 1)).alias("_group"))
-    hubs = grouped.groupBy("entry", "_group").agg(F.min(F.struct("key", "n", "comp")).alias("hub"))
-    met = grouped.join(hubs, ["entry", "_group"]).where((F.col("hub.comp") != F.col("comp")) & (DENOMINATOR * F.least("n", "hub.n") >= NUMERATOR * F.greatest("n", "hub.n")))
+    hubs = entries.groupBy("entry").agg(F.min(F.struct("spare", "key", "n", "comp")).alias("hub"))
+    met = entries.join(hubs, "entry").where((F.col("hub.comp") != F.col("comp")) & (DENOMINATOR * F.least("n", "hub.n") >= NUMERATOR * F.greatest("n", "hub.n")))
     best = met.groupBy("key", F.col("hub.key").alias("hub")).count().groupBy("key").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
     return best.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
 
 
 def all_pairs(entries: DataFrame) -> DataFrame:
-    """Every pair of classes that share an entry and are in different components: (a, b).
+    """Every pair of classes that share an entry, in different components and not of one zone: (a, b).
 
     Components of an entry are paired first, so classes of one component never
     meet each other, not even inside a join.
     """
-    spots = entries.select("entry", "comp").distinct()
-    duos = spots.select("entry", F.col("comp").alias("c_a")).join(spots.select("entry", F.col("comp").alias("c_b")), "entry").where("c_a < c_b")
-    left = entries.select("entry", F.col("comp").alias("c_a"), F.col("key").alias("k_a"), F.col("n").alias("n_a"))
-    right = entries.select("entry", F.col("comp").alias("c_b"), F.col("key").alias("k_b"), F.col("n").alias("n_b"))
+    differ = (F.col("c_a") < F.col("c_b")) & ~F.coalesce(F.col("z_a") == F.col("z_b"), F.lit(False))
+    spots = entries.select("entry", "comp", "zone").distinct()
+    duos = spots.select("entry", F.col("comp").alias("c_a"), F.col("zone").alias("z_a")).join(spots.select("entry", F.col("comp").alias("c_b"), F.col("zone").alias("z_b")), "entry").where(differ)
+    left = entries.select("entry", F.col("comp").alias("c_a"), F.col("zone").alias("w_a"), F.col("key").alias("k_a"), F.col("n").alias("n_a"))
+    right = entries.select("entry", F.col("comp").alias("c_b"), F.col("zone").alias("w_b"), F.col("key").alias("k_b"), F.col("n").alias("n_b"))
     near = DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b")
-    met = duos.join(left, ["entry", "c_a"]).join(right, ["entry", "c_b"]).where(near)
+    met = duos.join(left, ["entry", "c_a"]).where(F.col("z_a").eqNullSafe(F.col("w_a"))).join(right, ["entry", "c_b"]).where(F.col("z_b").eqNullSafe(F.col("w_b")) & near)
     return met.select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b")).distinct()
 
 
+def zones(entries: DataFrame) -> DataFrame | None:
+    """(key, zone): classes that crowded entries hold together, directly or by others; None without any."""
+    crowded = entries.groupBy("entry").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("v")).where(F.col("c") > CROWD)
+    edges = entries.join(crowded, "entry").select(F.col("key").alias("u"), "v").where("u <> v").distinct()
+    edges = materialize(entries.sparkSession, edges, "crowds")
+    if edges.isEmpty():
+        return None
+    found = components(edges, "zones")
+    return found.select(F.col("node").alias("key"), F.col("root").alias("zone")).unionByName(found.select(F.col("root").alias("key"), F.col("root").alias("zone")).distinct())
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the left sets with the right ones."""
+    sizes = [np.array([len(t) for t in side], dtype=np.int64) for side in (left, right)]
+    flat = [np.concatenate([np.zeros(0, np.int64), *side]) for side in (left, right)]
+    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    spots = []
+    for values, n in zip(flat, sizes, strict=True):
+        at = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
+        hit = both[at] == values if len(both) else np.zeros(len(values), dtype=bool)
+        spots.append((np.repeat(np.arange(len(n)), n)[hit], at[hit]))
+    for first in range(0, len(both), BLOCK_COLUMNS):
+        parts = []
+        for (rows, at), n in zip(spots, sizes, strict=True):
+            inside = (at >= first) & (at < first + BLOCK_COLUMNS)
+            part = np.zeros((len(n), min(BLOCK_COLUMNS, len(both) - first)), dtype=np.float32)
+            part[rows[inside], at[inside] - first] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def _link_block(table: pa.Table) -> pa.Table:
+    """Links of two blocks of classes that join components; no more than there are classes."""
+    table = table.sort_by("key")
+    part, low, high = (np.array(table.column(c)) for c in ("part", "low", "high"))
+    keys, n, comp = (np.array(table.column(c)) for c in ("key", "n", "comp"))
+    tokens = [np.array(t, dtype=np.int64) for t in table.column("tokens").to_pylist()]
+    left, right = np.flatnonzero(part == low[0]), np.flatnonzero(part == high[0])
+    common = common_counts([tokens[i] for i in left], [tokens[i] for i in right])
+    union = n[left][:, None] + n[right][None, :] - common
+    links = np.argwhere((100 * common >= 75 * union) & (comp[left][:, None] != comp[right][None, :]))
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    out: list[tuple[int, int]] = []
+    for i, j in links.tolist():
+        a, b = find(int(comp[left[i]])), find(int(comp[right[j]]))
+        if a != b:
+            parent[a] = b
+            out.append((int(keys[left[i]]), int(keys[right[j]])))
+    return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
+
+
+def block_links(entries: DataFrame, zoned: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(u, v): links between the components of each zone, enough to join what links."""
+    members = entries.select("key", "n", "comp").distinct().join(zoned, "key")
+    counts = zoned.groupBy("zone").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    placed = members.join(counts, "zone").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    pairs = placed.select("zone", "key", "n", "comp", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    rows = pairs.join(candidates.select("key", "tokens"), "key")
+    return rows.groupBy("zone", "low", "high").applyInArrow(_link_block, "u long, v long")
+
+
 def link_components(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(node, root) of the classes that link with another; None if none does."""
     spark = docs.sparkSession
     candidates = candidate_sets(docs, sets)
     entries = index_table(candidates)
     # an entry of a single class is no candidate
-    entries = materialize(spark, _mixed(_with_components(entries, None)).select("entry", "key", "n"), "index-shared")
+    entries = materialize(spark, _mixed(_with_components(entries, None)).select("entry", "key", "n", "spare"), "index-shared")
     links: DataFrame | None = None
     roots: DataFrame | None = None
-    for step in ("star", "star", "all"):
-        open_entries = materialize(spark, _mixed(_with_components(entries, roots)), "open-entries")
-        if open_entries.isEmpty():
+    zoned: DataFrame | None = None
+    for step in ("star", "blocks", "pairs"):
+        rest = materialize(spark, _mixed(_with_components(entries, roots)), "open-entries")
+        if rest.isEmpty():
             break
-        pairs = star_pairs(open_entries) if step == "star" else all_pairs(open_entries)
-        new = materialize(spark, verify(pairs, candidates).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        if new.isEmpty():
+        if step == "star":
+            found = verify(star_pairs(rest), candidates).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        elif step == "blocks":
+            zoned = zones(rest)
+            if zoned is None:
+                continue
+            found = block_links(rest, zoned, candidates)
+        else:
+            rest = _with_zones(rest, zoned)
+            found = verify(all_pairs(rest), candidates).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        found = materialize(spark, found, "links")
+        if found.isEmpty():
             continue
-        links = new if links is None else links.unionByName(new)
+        links = found if links is None else links.unionByName(found)
         roots = components(links)
     return roots
 
 
+def _with_zones(entries: DataFrame, zoned: DataFrame | None) -> DataFrame:
+    """With each class's zone, if any, and without the entries of a single zone."""
+    if zoned is None:
+        return entries.withColumn("zone", F.lit(None).cast("long"))
+    marked = materialize(entries.sparkSession, entries.join(zoned, "key", "left"), "zoned-entries")
+    settled = marked.groupBy("entry").agg(F.min("zone").alias("lo"), F.max("zone").alias("hi"), F.count("zone").alias("in_zone"), F.count(F.lit(1)).alias("c")).where("lo = hi and in_zone = c").select("entry")
+    return marked.join(settled, "entry", "left_anti")
+
+
 def link_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(all linking pairs of classes (a, b), membership (doc_id, n, key)); equal sets are one class."""
     docs = two_columns(docs, id_col, text_col)
     sets = materialize(docs.sparkSession, set_table(docs), "sets")
     candidates = candidate_sets(docs, sets)
     entries = materialize(docs.sparkSession, _mixed(_with_components(index_table(candidates), None)), "index-shared")
-    return verify(all_pairs(entries), candidates), sets
+    return verify(all_pairs(_with_zones(entries, None)), candidates), sets
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
