@@ -28,14 +28,15 @@ itself; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import IS_SPACE, LOWER, buffers, per_document, runs, slices, span_hashes
@@ -53,8 +54,11 @@ TRANSITION_PRIOR = 20.0
 LOOSE, END = CLASSES, CLASSES + 1
 N_CLASSES = CLASSES + 2
 UNKNOWN = 255
+#: Words of all blocks that a bucket of hashes takes in, about; and the bytes of a hash that are kept beside its bucket.
+BUCKET_WORDS = 1_000_000
+LOW_BYTES = 7
 
-BLOCK_SCHEMA = "block string, doc_ids array<bigint>, n_words array<int>, words binary, vocabulary binary, counts binary, train array<boolean>"
+BLOCK_SCHEMA = "block bigint, doc_ids array<bigint>, n_words array<int>, words binary, vocabulary binary, counts binary, train array<boolean>, n_types bigint"
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -76,6 +80,8 @@ def block_table(docs: DataFrame) -> DataFrame:
     """The texts of (doc_id, text) packed into blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # blocks are written to a table, of which each partition has one version
+        number = itertools.count(TaskContext.get().partitionId() << 32)
         for batch in batches:
             data, offsets = buffers(batch.column(1))
             for first, last, part, cuts in slices(data, offsets, BLOCK_BYTES):
@@ -90,9 +96,9 @@ def block_table(docs: DataFrame) -> DataFrame:
                 ids = batch.column(0).slice(first, last - first)
                 train = np.array([learned_from(i) for i in ids.to_pylist()], dtype=bool)
                 counts = np.bincount(words[np.repeat(train, per_doc)], minlength=len(vocabulary)).astype(np.int32)
-                columns = [[uuid.uuid4().hex], [ids.to_pylist()], [per_doc.tolist()], [_pack(words)], [_pack(vocabulary)], [_pack(counts)], [train.tolist()]]
-                kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.bool_())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "doc_ids", "n_words", "words", "vocabulary", "counts", "train"])
+                columns = [[next(number)], [ids.to_pylist()], [per_doc.tolist()], [_pack(words)], [_pack(vocabulary)], [_pack(counts)], [train.tolist()], [len(vocabulary)]]
+                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.bool_()), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "doc_ids", "n_words", "words", "vocabulary", "counts", "train", "n_types"])
 
     return docs.mapInArrow(run, BLOCK_SCHEMA)
 
@@ -212,13 +218,13 @@ def exchange(bigrams: np.ndarray, n_classes: int = CLASSES, passes: int = PASSES
             t[a] -= r
             t[:, a] -= l
             t[a, a] -= own
-            rows, cols, n_r, n_l = t.sum(axis=1), t.sum(axis=0), r.sum() + own, l.sum() + own
+            # the word's neighbours in other classes take its counts whatever its class is
+            rows, cols, n_r, n_l = t.sum(axis=1) + l, t.sum(axis=0) + r, r.sum() + own, l.sum() + own
             # gain of joining class c: its row takes r, its column l, its own cell both and the word after itself
             gain = (f(t + r) - f(t)).sum(axis=1) + (f(t + l[:, None]) - f(t)).sum(axis=0)
             d = np.diag(t)
             gain += f(d + r + l + own) - f(d + r) - f(d + l) + f(d)
             gain -= f(rows + n_r) - f(rows) + f(cols + n_l) - f(cols)
-            # what the word adds to other rows and columns doesn't depend on its class
             b = int(np.argmax(gain[:n_classes]))
             if b != a and gain[b] > gain[a] + 1e-9:
                 t[b] += r
@@ -246,49 +252,91 @@ def _information(bigrams: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.log((table + 0.5 * left * right / total / total + 0.05) * total / (left * right))
 
 
-def word_votes(blocks: DataFrame, frequent: np.ndarray, classes: np.ndarray, information: np.ndarray) -> DataFrame:
-    """(word, block, vote, weight, n): each block's class for each of its words."""
+def _low_bytes(hashes: np.ndarray) -> bytes:
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LOW_BYTES]).tobytes()
+
+
+def _from_low_bytes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // LOW_BYTES, 8), dtype=np.uint8)
+    out[:, :LOW_BYTES] = np.frombuffer(data, dtype=np.uint8).reshape(-1, LOW_BYTES)
+    return out.view("<u8").ravel()
+
+
+def _context_scores(numbers: np.ndarray, beside: list[np.ndarray], gains: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(favoured class, number of contexts) of each word; ``beside``: classes before and after each of its places."""
+    vote, weight = np.full(size, LOOSE, dtype=np.int64), np.zeros(size, dtype=np.int64)
+    step = 1 << 15
+    order = np.argsort(numbers, kind="stable")
+    numbers, beside = numbers[order], [b[order] for b in beside]
+    for first in range(0, size, step):
+        a, b = np.searchsorted(numbers, [first, first + step])
+        n = min(step, size - first)
+        scores = np.zeros((n, CLASSES), dtype=np.float32)
+        for classes, gain in zip(beside, gains, strict=True):
+            some = classes[a:b] >= 0
+            around = np.bincount((numbers[a:b][some] - first) * N_CLASSES + classes[a:b][some], minlength=n * N_CLASSES).reshape(n, N_CLASSES)
+            scores += around.astype(np.float32) @ gain.astype(np.float32)
+            weight[first : first + n] += around.sum(axis=1)
+        vote[first : first + n] = np.where(weight[first : first + n] > 0, scores.argmax(axis=1), LOOSE)
+    return vote, weight
+
+
+def word_votes(blocks: DataFrame, bits: int, frequent: np.ndarray, classes: np.ndarray, information: np.ndarray) -> DataFrame:
+    """(bucket, block, words, votes, weights, counts): each block's class for each of its words, dealt by the words' hashes."""
     sent = blocks.sparkSession.sparkContext.broadcast((frequent, classes, information))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, classes, information = sent.value
         for block in _rows(batches):
             size = len(block.vocabulary)
+            if not size:
+                continue
             at = _position(block.vocabulary, frequent)
             known = np.where(at >= 0, classes[at] if len(classes) else -1, -1)
             seq, inside = block.sequence(known, LOOSE, END)
             numbers, _ = block.sequence(np.arange(size), -1, -1)
             place = np.flatnonzero(inside)
-            scores = np.zeros((size, CLASSES), dtype=np.float32)
-            weight = np.zeros(size)
-            for shift, gain in ((-1, information[:, :CLASSES]), (1, information[:CLASSES].T)):
-                beside = seq[place + shift]
-                some = beside >= 0
-                if not some.any():
-                    continue
-                around = np.bincount(numbers[place[some]] * N_CLASSES + beside[some], minlength=size * N_CLASSES).reshape(size, N_CLASSES)
-                scores += around.astype(np.float32) @ gain.astype(np.float32)
-                weight += around.sum(axis=1)
-            vote = np.where(weight > 0, scores.argmax(axis=1), LOOSE)
-            vote = np.where(known >= 0, known, vote)
-            arrays = [pa.array(block.vocabulary), pa.array([block.name] * size, pa.string()), pa.array(vote.astype(np.int32)), pa.array(weight.astype(np.int32)), pa.array(block.counts.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["word", "block", "vote", "weight", "n"])
-
-    return blocks.mapInArrow(run, "word long, block string, vote int, weight int, n int")
+            vote, weight = _context_scores(numbers[place], [seq[place - 1], seq[place + 1]], [information[:, :CLASSES], information[:CLASSES].T], size)
+            vote = np.where(known >= 0, known, vote).astype(np.uint8)
+            hashes = block.vocabulary.view(np.uint64)
+            order = np.argsort(hashes)
+            hashes, vote, weight, counts = hashes[order], vote[order], weight[order].astype(np.int32), block.counts[order].astype(np.int32)
+            bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            rows = [(int(bucket[a]), block.name, _low_bytes(hashes[a:b]), _pack(vote[a:b]), _pack(weight[a:b]), _pack(counts[a:b])) for a, b in zip(cuts, [*cuts[1:], size], strict=True)]
+            columns = list(zip(*rows, strict=True))
+            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "block", "words", "votes", "weights", "counts"])
+
+    return blocks.mapInArrow(run, "bucket long, block long, words binary, votes binary, weights binary, counts binary")
 
 
 def word_table(votes: DataFrame) -> DataFrame:
-    """(block, word, c, class, first): for each block's words the training count, the class, and one row a word marked as first."""
-    word = Window.partitionBy("word")
-    summed = votes.withColumn("_votes", F.sum("weight").over(Window.partitionBy("word", "vote")))
-    settled = summed.select(
-        "block",
-        "word",
-        F.sum("n").over(word).alias("c"),
-        F.max(F.struct("_votes", (-F.col("vote")).alias("vote"))).over(word).alias("_best"),
-        (F.row_number().over(word.orderBy("block")) == 1).alias("first"),
-    )
-    return settled.select("block", "word", "c", (-F.col("_best.vote")).cast("int").alias("class"), "first")
+    """(block, bucket, c, class, first): for a block's words of a bucket, by hash, the training counts, classes, and whether no earlier block has them.
+
+    A word comes once a block, so a bucket's rows follow the number of blocks, not a word's occurrences.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        words = [_from_low_bytes(x) for x in table.column("words").to_pylist()]
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        vote = np.concatenate([_unpack(x, "uint8") for x in table.column("votes").to_pylist()]).astype(np.int64)
+        weight = np.concatenate([_unpack(x, "int32") for x in table.column("weights").to_pylist()])
+        n = np.concatenate([_unpack(x, "int32") for x in table.column("counts").to_pylist()])
+        types, first_at, word = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
+        c = np.bincount(word, weights=n, minlength=len(types)).astype(np.int64)
+        # votes with a little for each block, so that words without any context have their class too
+        tally = np.bincount(word * N_CLASSES + vote, weights=weight + 1e-3, minlength=len(types) * N_CLASSES).reshape(-1, N_CLASSES)
+        of = tally.argmax(axis=1).astype(np.uint8)
+        first = np.zeros(len(word), dtype=np.uint8)
+        first[first_at] = 1
+        ends = np.cumsum(sizes)
+        parts = [(_pack(c[word[e - k : e]]), _pack(of[word[e - k : e]]), _pack(first[e - k : e])) for e, k in zip(ends, sizes, strict=True)]
+        made = {name: pa.array([p[i] for p in parts], pa.binary()) for i, name in enumerate(("c", "class", "first"))}
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket")} | made)
+
+    return votes.groupBy("bucket").applyInArrow(run, "block long, bucket long, c binary, class binary, first binary")
 
 
 SEQUENCE_SCHEMA = "kind int, doc_id bigint, n_words bigint, n_known bigint, base double, emission double, train boolean, data binary"
@@ -303,11 +351,12 @@ def class_sequences(blocks: DataFrame, words: DataFrame) -> DataFrame:
         out: list[list] = [[] for _ in names]
         for row in left.to_pylist():
             block = Block(row)
-            hashes = right.column("word").to_numpy()
-            order = np.argsort(hashes)
-            to = order[np.searchsorted(hashes[order], block.vocabulary)] if len(hashes) else np.zeros(0, np.int64)
-            c, of = right.column("c").to_numpy()[to].astype(np.float64), right.column("class").to_numpy()[to].astype(np.int64)
-            first = right.column("first").to_numpy(zero_copy_only=False)[to]
+            # the buckets in order have the block's words by hash
+            right = right.sort_by("bucket")
+            order = np.argsort(block.vocabulary.view(np.uint64))
+            c, of, first = (np.zeros(len(order), dtype=k) for k in (np.float64, np.int64, bool))
+            for name, kind, out_array in (("c", "int64", c), ("class", "uint8", of), ("first", "uint8", first)):
+                out_array[order] = np.concatenate([np.zeros(0, kind), *(_unpack(x, kind) for x in right.column(name).to_pylist())])
             # counts of the words that this block is the first to have: types, once-seen types and tokens by class
             own = first & (c > 0)
             stats = np.concatenate([np.bincount(of[own], minlength=N_CLASSES), np.bincount(of[own & (c == 1)], minlength=N_CLASSES), np.bincount(of[own], weights=c[own], minlength=N_CLASSES)])
@@ -395,7 +444,9 @@ def train(spark: SparkSession, docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     frequent = frequent_words(blocks)
     bigrams = bigram_counts(blocks, frequent)
     classes, _ = exchange(bigrams)
-    votes = word_votes(blocks, frequent, classes, _information(bigrams, classes))
+    pairs = blocks.agg(F.sum("n_types")).first()[0] or 0
+    bits = max(8, math.ceil(pairs / BUCKET_WORDS).bit_length())
+    votes = word_votes(blocks, bits, frequent, classes, _information(bigrams, classes))
     sequences = materialize(spark, class_sequences(blocks, word_table(votes)), "class-sequences")
     return ClassModel(*transition_counts(sequences)), sequences
 
