@@ -2,7 +2,8 @@
 
 From a bounded sample of labelled texts (``SAMPLE_ROWS``, read whole) the words
 and stems that mark toxic texts are learned by their log-likelihood ratio; they
-form a trie, intersected with Levenshtein automata (``levenshtein.py``). Around
+form a trie, intersected with Levenshtein automata (``levenshtein.py``); a term
+whose misspellings are ordinary words of clean texts allows no edits. Around
 each hit a window of ``WINDOW`` words is searched for signs of quotation (quote
 marks on both sides, a verb of reporting) and of address (second person,
 exclamation). A logistic regression over a text's hits, by kind, gives the score.
@@ -19,7 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ LEAST_RATIO = 20.0
 LEAST_PRECISION = 0.6
 STEMS = (4, 5, 6, 7)
 WINDOW = 8
+#: Share of the sample whose clean texts may hold misspellings of a term, before they count as ordinary words.
+ORDINARY = 2e-3
 LEAST = 3
 #: Bytes of context read on each side of a hit, before words are counted.
 REACH = 160
@@ -176,10 +179,38 @@ def _regress(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.5,
     return w / scale, float(b)
 
 
+def trusted_edits(sample: DataFrame, terms: list[Term]) -> list[Term]:
+    """The terms, those without edits whose misspellings are ordinary words of clean texts."""
+    sent = sample.sparkSession.sparkContext.broadcast(build(terms))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = sent.value
+        for batch in batches:
+            data, offsets = buffers(pc.utf8_lower(batch.column("text")))
+            clean = np.array(batch.column("label")) == 0
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for first, _, part, cuts in slices(data, offsets):
+                starts, ends, per_doc = runs(IS_ALNUM[part], cuts)
+                words, hits, edits = automaton.match(part, starts, ends)
+                doc = first + np.searchsorted(np.cumsum(per_doc), words, side="right")
+                some = (edits > 0) & clean[doc]
+                found.append((hits[some], doc[some]))
+            pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)]), axis=1)
+            hits, n = np.unique(pairs[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hits), pa.array(n)], names=["term", "n"])
+
+    rows = sample.select("text", "label").mapInArrow(tally, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    often = max(1, sample.count() * ORDINARY)
+    ordinary = {r["term"] for r in rows if r["n"] > often}
+    return [replace(t, edits=0) if k in ordinary else t for k, t in enumerate(terms)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Learn lexicon and weights from at most ``rows`` labelled texts outside the held-out fold."""
     sample = labelled_sample(docs, labels, "toxic", MODULUS, HELD_OUT, rows, "toxicity")
     terms = learn_lexicon(sample)
+    if terms:
+        terms = trusted_edits(sample, terms)
     model = ToxicityModel(terms, build(terms), np.zeros(N_FEATURES), -30.0)
     if not terms:
         return model
@@ -194,7 +225,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxicity
     got = sample.select("doc_id", "label", "text").mapInArrow(hits, "doc_id long, label int, x array<double>").collect()
     got.sort(key=lambda r: (r["doc_id"], r["x"]))
     x, y = np.array([r["x"] for r in got]), np.array([r["label"] for r in got], dtype=float)
-    model.coefficients, model.bias = _regress(x, y)
+    # each toxic text once more as if its terms were misspelled by one edit: labelled texts may hold none such
+    spelled = x[(y == 1) & (x[:, 0] > 0)].copy()
+    spelled[:, 2], spelled[:, [0, 6]] = np.log1p(np.expm1(spelled[:, 0]) / 2), 0
+    model.coefficients, model.bias = _regress(np.concatenate([x, spelled]), np.concatenate([y, np.ones(len(spelled))]))
     return model
 
 
