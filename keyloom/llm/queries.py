@@ -62,6 +62,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def packing_sql(n_buckets: int = packing.N_BUCKETS, budget: int = packing.TOKEN_BUDGET) -> str:
+    """The dynamic programming as one table for each number of buckets; for lengths that are counted exactly."""
+    layers = ["l1 AS (SELECT i, total * len AS spent, [len] AS bounds FROM cumulated)"]
+    for k in range(2, n_buckets + 1):
+        layers.append(f"""l{k} AS (
+            SELECT h.i, coalesce(p.spent, 0) + (h.total - coalesce(b.total, 0)) * h.len AS spent, list_append(coalesce(p.bounds, []), h.len) AS bounds
+            FROM cumulated h JOIN (SELECT 0 AS i UNION ALL SELECT i FROM cumulated) c ON c.i < h.i
+            LEFT JOIN l{k - 1} p ON p.i = c.i LEFT JOIN cumulated b ON b.i = c.i
+            QUALIFY row_number() OVER (PARTITION BY h.i ORDER BY coalesce(p.spent, 0) + (h.total - coalesce(b.total, 0)) * h.len, c.i) = 1)""")
+    return rf"""
+        WITH lengths AS (SELECT doc_id, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS n_words FROM documents),
+        counted AS (SELECT n_words AS len, count(*) AS n FROM lengths GROUP BY n_words),
+        cumulated AS (SELECT len, sum(n) OVER (ORDER BY len)::BIGINT AS total, row_number() OVER (ORDER BY len) AS i FROM counted),
+        {", ".join(layers)},
+        placed AS (SELECT doc_id, n_words, (SELECT min(bound) FROM (SELECT unnest(bounds) AS bound FROM (SELECT bounds FROM l{n_buckets} ORDER BY i DESC LIMIT 1)) WHERE bound >= n_words) AS bucket_bound FROM lengths),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY bucket_bound ORDER BY md5(doc_id::VARCHAR), doc_id, n_words) - 1 AS position, greatest(1, {budget} // bucket_bound) AS room FROM placed)
+        SELECT doc_id, n_words, bucket_bound, position // room AS batch_id, position % room AS slot, bucket_bound - n_words AS padding FROM numbered
+    """
+
+
 QUERIES: dict[str, Query] = {
     "op1_class_lm": op1_class_lm,
     "op2_exact_dedup": op2_exact_dedup,
@@ -83,6 +103,7 @@ ORACLE_SQL: dict[str, str] = {
             doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM keyed WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op5_packing": packing_sql(),
     "op3_ngram_join": r"""
         WITH RECURSIVE worded AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
