@@ -31,16 +31,18 @@ PASSAGE_LEAST, PASSAGE_WORDS = 4, 8
 SECTION = 8
 #: Ranges of ids that the documents are dealt into, at most.
 MAX_RANGES = 4096
+#: White space, as everywhere in this subpackage, is 0x20 and 0x09-0x0D; a paragraph has no line feed.
+_WORD, _GAP = r"[^\x20\x09-\x0D]", r"[\x20\x09\x0B-\x0D]"
 #: A few words up to a sentence's end, else as many as fit; what white space leads a paragraph stands alone.
 _PASSAGE = (
-    rf"(?:\S++[^\S\n]++){{{PASSAGE_LEAST - 1},{PASSAGE_WORDS - 1}}}?\S++(?<=[.!?])(?:[^\S\n]++|\z)"
-    rf"|(?:\S++(?:[^\S\n]++|\z)){{1,{PASSAGE_WORDS}}}|[^\S\n]++"
+    rf"(?:{_WORD}++{_GAP}++){{{PASSAGE_LEAST - 1},{PASSAGE_WORDS - 1}}}?{_WORD}++(?<=[.!?])(?:{_GAP}++|\z)"
+    rf"|(?:{_WORD}++(?:{_GAP}++|\z)){{1,{PASSAGE_WORDS}}}|{_GAP}++"
 )
 
 
 def _short(value: Column, digits: int = 8) -> Column:
-    """The last hex digits of a 64-bit hash."""
-    return F.right(F.lpad(F.lower(F.hex(F.xxhash64(value))), 16, "0"), F.lit(digits))
+    """The first hex digits of the MD5."""
+    return F.left(F.md5(value.cast("binary")), F.lit(digits))
 
 
 def leaf_tree(text: Column) -> Column:
