@@ -30,7 +30,7 @@ from .training import held_out_flag, labelled_sample
 BUCKETS = 1 << 16
 GRAMS = (3, 5)
 WIDTH = 8
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 2000
 EPOCHS = 12
 RATE = 0.3
 MODULUS, HELD_OUT = 3, 1
@@ -129,14 +129,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityM
                 out.append(np.concatenate([buckets.astype("<i4"), n.astype("<i4")]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], names=["doc_id", "label", "bag"])
 
-    got = sample.select("doc_id", "label", "text").mapInArrow(bag, "doc_id long, label int, bag binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["bag"])))
-    y = np.array([r["label"] for r in got], dtype=np.int64)
+    # an Arrow table is held once, and the bags are views of it
+    got = sample.select("doc_id", "label", "text").mapInArrow(bag, "doc_id long, label int, bag binary").toArrow().sort_by([("doc_id", "ascending"), ("bag", "ascending")])
+    y = np.array(got.column("label"), dtype=np.int64)
     if min((y == 0).sum(), (y == 1).sum()) < LEAST:
         return QualityModel(np.zeros(BUCKETS, dtype=np.float32), 30.0)
     bags = []
-    for r in got:
-        pair = np.frombuffer(bytes(r["bag"]), dtype="<i4").reshape(2, -1)
+    for packed in got.column("bag"):
+        pair = np.frombuffer(packed.as_buffer(), dtype="<i4").reshape(2, -1)
         bags.append((pair[0], (pair[1] / max(1, pair[1].sum())).astype(np.float32)))
     return train(bags, y)
 
