@@ -64,3 +64,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A key is hot with at least this share of the rows and HOT_LEAST rows, so 1 / HOT_SHARE keys are hot at most.
+HOT_SHARE = 1e-3
+HOT_LEAST = 1000
+
+
+def hot_from(n_rows: int) -> float:
+    return max(HOT_LEAST, n_rows * HOT_SHARE)
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, counts: str, n_rows: int) -> DataFrame:
+    """Inner join with a table of one row a key, whose column ``counts`` says how many of the left's ``n_rows`` rows have it.
+
+    Hot keys are joined by broadcast - their number is bounded by what makes
+    them hot - and the others by shuffle, so no key's rows meet in one task.
+    """
+    least = hot_from(n_rows)
+    if n_rows < least:
+        return left.join(right.drop(counts), key)
+    hot = F.broadcast(right.where(F.col(counts) >= least).drop(counts))
+    cold = right.where(F.col(counts) < least).drop(counts)
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))

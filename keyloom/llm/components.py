@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_counted, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
+    # a hub has as many edges as its group has members
+    return join_counted(both.where("v > u"), least, "u", "degree", 2 * n_edges).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -28,10 +29,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     spark = edges.sparkSession
     now = materialize(spark, edges.select("u", "v").where("u <> v").distinct(), name)
-    mark = None
+    mark, n_edges = None, now.count()
     while True:
-        now = materialize(spark, _small_star(_large_star(now)).distinct(), name)
+        now = materialize(spark, _small_star(_large_star(now, n_edges)).distinct(), name)
         seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = seen
+        mark, n_edges = seen, seen[0]

@@ -18,11 +18,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialize, scratch_path, shuffle_partitions, two_columns
+from .common import SPACE_CLASS, join_counted, materialize, scratch_path, shuffle_partitions, two_columns
 
 INDEX_SCHEMA = "digest binary, keep_id bigint"
-#: A digest is hot with at least this share of all rows, so 1 / HOT_SHARE digests are hot at most.
-HOT_SHARE = 1e-3
 
 
 def digest_of(text: Column) -> Column:
@@ -47,7 +45,8 @@ class DigestIndex:
 
     def ingest(self, keyed: DataFrame) -> None:
         """Add the digests of ``keyed`` (digest, doc_id) that the index lacks."""
-        firsts = keyed.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
+        # written out, or the optimiser puts the anti-join below the aggregation, where a hot digest's rows would meet
+        firsts = materialize(self.spark, keyed.groupBy("digest").agg(F.min("doc_id").alias("keep_id")), "batch-digests")
         fresh = firsts.join(self.read().hint("merge"), "digest", "left_anti")
         # one sorted file for each bucket: the rows arrive dealt by digest, as many ways as there are buckets
         self._append(fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest"))
@@ -60,18 +59,13 @@ def keyed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def verdicts(index: DigestIndex, keyed: DataFrame, n_rows: int) -> DataFrame:
     """One row per row of ``keyed``: doc_id, keep_id, group_size, kept, digest.
 
-    ``n_rows`` is the number of rows of ``keyed``. Hot digests, of which there
-    are at most ``1 / HOT_SHARE`` by their definition, are joined by broadcast;
-    the others by their digest, so no group of copies lands in one task.
+    ``n_rows`` is the number of rows of ``keyed``. Large groups of copies are
+    joined by broadcast, so none lands in one task.
     """
     sizes = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+    sizes = materialize(index.spark, sizes, "digest-sizes")
     known = materialize(index.spark, sizes.join(index.read().hint("merge"), "digest"), "digest-groups")
-    hot_from = max(1000.0, n_rows * HOT_SHARE)
-    hot = F.broadcast(known.where(F.col("group_size") >= hot_from))
-    cold = known.where(F.col("group_size") < hot_from)
-    is_hot = keyed.join(hot, "digest")
-    others = keyed.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest")
-    joined = is_hot.unionByName(others)
+    joined = join_counted(keyed, known.withColumn("_rows", F.col("group_size")), "digest", "_rows", n_rows)
     # rows that repeat id and text: only the first is the one that stays; such rows share an id, hot digests don't meet here
     turn = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("group_size"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (turn == 1)

@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import IS_SPACE, LOWER, buffers, mix, runs, slices, span_hashes
-from .common import materialize, two_columns
+from .common import join_counted, materialize, two_columns
 from .components import components
 
 WORDS = 5
@@ -514,12 +514,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         named = firsts.withColumn("component_id", F.col("first"))
     named = materialize(spark, named.select("key", "component_id", "copies"), "class-components")
-    hot_from = max(1000, sets.count() // 1000)
-    # classes with so many copies are 1000 at most
-    hot = F.broadcast(named.where(F.col("copies") >= hot_from).drop("copies"))
-    filled = sets.where("n > 0")
-    rest = filled.join(hot.select("key"), "key", "left_anti").join(named.where(F.col("copies") < hot_from).drop("copies"), "key")
-    some = filled.join(hot, "key").unionByName(rest)
+    some = join_counted(sets.where("n > 0"), named, "key", "copies", sets.count())
     alone = sets.where("n = 0").withColumn("component_id", F.col("doc_id"))
     return some.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 

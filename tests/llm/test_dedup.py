@@ -10,7 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from keyloom.llm import digest_index, ngram_join
+from keyloom.llm import common, digest_index, ngram_join
 from keyloom.llm.components import components
 
 from .helpers import edge_frame, edge_rows, empty_frame, same_rows
@@ -31,8 +31,9 @@ def brute_dedup(rows):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 3])
-def test_exact_dedup(spark, batches):
+@pytest.mark.parametrize(("batches", "hot"), [(1, 1000), (3, 2)])
+def test_exact_dedup(spark, monkeypatch, batches, hot):
+    monkeypatch.setattr(common, "HOT_LEAST", hot)
     got = digest_index.deduplicate(edge_frame(spark), batches=batches).collect()
     same_rows([(r[0], r[1], r[2], r[3], r[4].hex()) for r in got], brute_dedup(edge_rows()))
 
@@ -120,8 +121,9 @@ def corpus(seed, n=160):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "frequent", "crowd", "block"), [(1, 24, 24, 512), (2, 2, 3, 7), (3, 1, 1000, 512), (4, 0, 2, 16)])
-def test_near_duplicates(spark, monkeypatch, seed, frequent, crowd, block):
+@pytest.mark.parametrize(("seed", "frequent", "crowd", "block", "hot"), [(1, 24, 24, 512, 1000), (2, 2, 3, 7, 4), (3, 1, 1000, 512, 1000), (4, 0, 2, 16, 2)])
+def test_near_duplicates(spark, monkeypatch, seed, frequent, crowd, block, hot):
+    monkeypatch.setattr(common, "HOT_LEAST", hot)
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_join, "CROWD", crowd)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
@@ -168,7 +170,18 @@ def test_common_counts():
     assert (got == [[len(np.intersect1d(a, b)) for b in right] for a in left]).all()
 
 
-def test_components(spark):
+def test_join_counted_splits_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    left = spark.createDataFrame([(k % 4 if k > 10 else 9, k) for k in range(30)], "k int, v int")
+    right = left.groupBy("k").count().where("k <> 2")
+    got = common.join_counted(left, right, "k", "count", 30)
+    assert got.columns == ["k", "v"]
+    same_rows(got.collect(), [(r[0], r[1]) for r in left.collect() if r[0] != 2])
+
+
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_LEAST", hot)
     edges = [(i, i + 1) for i in range(20, 60)] + [(1, 2), (3, 2), (70, 9), (9, 70)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 20 for i in range(21, 61)) and got[2] == got[3] == 1 and got[70] == 9
