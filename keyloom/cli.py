@@ -49,9 +49,9 @@ def parse(args: list[str]) -> dict:
         a = args[at]
         if a in ("-fields", "-select", "-index"):
             out[a[1:]] = value(a)
-        elif a in ("-count", "-idxstats"):
-            out[a[1:]] = True
-        elif a == "-v":
+        elif a.lower() in ("-count", "-idxstats"):
+            out[a[1:].lower()] = True
+        elif a.lower() == "-v":
             out["version"] = True
         elif a == "-files":
             while at + 1 < len(args) and not args[at + 1].startswith("-"):
@@ -59,6 +59,8 @@ def parse(args: list[str]) -> dict:
                 out["files"].append(args[at])
         elif a.startswith("-B"):
             flags = a[2:]
+            if set(flags) - set("fdmu"):
+                raise UsageError(f"{a}: the letters after -B are f, d, m and u")
             out["binary"] = {"size": 4 if "f" in flags else 8 if "d" in flags else 0, "mask": "m" in flags, "unscaled": "u" in flags, "file": value(a)}
         elif not a.startswith("-"):
             out["dataset"] = a

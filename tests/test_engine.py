@@ -280,6 +280,8 @@ def test_command_line(dataset, spark, tmp_path, capsys):
     out = io.StringIO()
     assert cli.main(["-v"], spark, out) == 0 and out.getvalue().strip()
     assert cli.main([str(dataset)], spark) == 1
+    assert cli.main([str(dataset), "-fields", "obs.sclk", "-Bx", "-"], spark) == 1
+    assert cli.main([str(dataset), "-count", "-fields", "obs.sclk"], spark) == 1
     assert cli.main([str(dataset), "-fields", "nothing"], spark) == 1 and "nothing" in capsys.readouterr().err
     assert cli.main([str(dataset), "-index", "obs.sclk"], spark) == 0
     out = io.StringIO()
