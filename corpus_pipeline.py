@@ -3,6 +3,10 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``. All but the last return
 the columns of ``documents``.
+
+Null texts count as empty; the filters keep rows without an id unless their text
+is rejected; repeated rows are judged alike, and exact dedup leaves one of them;
+an empty table, or one without labels, passes through; other columns stay.
 """
 
 from __future__ import annotations
