@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import deque
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 
@@ -64,7 +65,11 @@ class LexiconAutomaton:
 
 
 def build(terms: list[Term]) -> LexiconAutomaton:
-    """Subset construction over (trie node, edits); edits beyond what any term below allows are cut."""
+    """Subset construction over (trie node, edits); edits beyond what any term below allows are cut.
+
+    A set is an integer with one bit for each place: ``node * wide + edits``,
+    behind the nodes one for each stem that has accepted whatever follows.
+    """
     children: list[dict[int, int]] = [{}]
     ends: list[list[int]] = [[]]
     allowed = [-1]
@@ -84,63 +89,93 @@ def build(terms: list[Term]) -> LexiconAutomaton:
     kinds = np.zeros(256, dtype=np.int64)
     for k, b in enumerate(letters):
         kinds[b] = k + 1
-
-    def closed(items: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
-        """With a term's letters skipped; (-1 - term, edits) has accepted whatever follows."""
-        stack, seen = list(items), set(items)
-        while stack:
-            node, e = stack.pop()
-            if node < 0:
-                continue
-            more = [(-1 - k, e) for k in ends[node] if terms[k].stem and e <= terms[k].edits]
-            more += [(c, e + 1) for c in children[node].values() if e + 1 <= allowed[c]]
-            for x in more:
-                if x not in seen:
-                    seen.add(x)
-                    stack.append(x)
-        # of the same place, the fewest edits are enough
-        least: dict[int, int] = {}
-        for node, e in seen:
-            least[node] = min(e, least.get(node, e))
-        return frozenset(least.items())
-
-    def step(items: frozenset[tuple[int, int]], b: int) -> frozenset[tuple[int, int]]:
-        out: set[tuple[int, int]] = set()
-        for node, e in items:
-            if node < 0:
-                out.add((node, e))
-                continue
-            if e + 1 <= allowed[node]:
-                out.add((node, e + 1))
-            for letter, c in children[node].items():
-                cost = e + (letter != b)
-                if cost <= allowed[c]:
-                    out.add((c, cost))
-        return closed(out)
-
-    def verdict(items: frozenset[tuple[int, int]]) -> tuple[int, int]:
+    wide, n_nodes = max([t.edits for t in terms], default=0) + 1, len(children)
+
+    def place(node: int, e: int) -> int:
+        return node * wide + e
+
+    @cache
+    def closed(node: int, e: int) -> int:
+        """The place with all that skipping letters of a term leads to."""
+        out = 1 << place(node, e)
+        for k in ends[node]:
+            if terms[k].stem and e <= terms[k].edits:
+                out |= 1 << place(n_nodes + k, e)
+        for c in children[node].values():
+            if e + 1 <= allowed[c]:
+                out |= closed(c, e + 1)
+        return out
+
+    @cache
+    def after(at: int) -> tuple[int, dict[int, int]]:
+        """(where any other letter leads, where the letters of the node's children lead) from a place."""
+        node, e = divmod(at, wide)
+        if node >= n_nodes:
+            return 1 << at, {}
+        other = closed(node, e + 1) if e + 1 <= allowed[node] else 0
+        for c in children[node].values():
+            if e + 1 <= allowed[c]:
+                other |= closed(c, e + 1)
+        return other, {b: other | closed(c, e) for b, c in children[node].items() if e <= allowed[c]}
+
+    fewest = [sum(1 << place(n, e) for n in range(n_nodes + len(terms))) for e in range(wide)]
+
+    def pruned(mask: int) -> int:
+        """Of the same node, the fewest edits are enough."""
+        for e in range(wide - 1):
+            have = mask & fewest[e]
+            for more in range(1, wide - e):
+                mask &= ~(have << more)
+        return mask
+
+    def places(mask: int) -> list[int]:
+        out = []
+        while mask:
+            low = mask & -mask
+            out.append(low.bit_length() - 1)
+            mask ^= low
+        return out
+
+    def verdict(own: list[int]) -> tuple[int, int]:
         best = (99, -1)
-        for node, e in items:
-            for k in [-1 - node] if node < 0 else ends[node]:
+        for at in own:
+            node, e = divmod(at, wide)
+            for k in [node - n_nodes] if node >= n_nodes else ends[node]:
                 if e <= terms[k].edits:
                     best = min(best, (e, k))
         return (best[1], best[0]) if best[1] >= 0 else (-1, 0)
 
-    first = closed({(0, 0)}) if terms else frozenset()
-    names: dict[frozenset[tuple[int, int]], int] = {frozenset(): 0, first: 1}
-    rows, verdicts = [[0] * (len(letters) + 1), [0] * (len(letters) + 1)], [(-1, 0), verdict(first)]
-    queue = deque([first] if terms else [])
+    first = pruned(closed(0, 0)) if terms else 0
+    names = {0: 0, first: 1}
+    rows, verdicts, queue = [np.zeros(len(letters) + 1, np.int32)], [(-1, 0)], deque()
+    rows.append(rows[0])
+    verdicts.append(verdict(places(first)))
+    if terms:
+        queue.append(first)
+
+    def name(mask: int) -> int:
+        mask = pruned(mask)
+        if mask not in names:
+            names[mask] = len(rows)
+            rows.append(rows[0])
+            verdicts.append(verdict(places(mask)))
+            queue.append(mask)
+        return names[mask]
+
     while queue:
-        items = queue.popleft()
-        row = []
-        for b in [-1, *letters]:
-            nxt = step(items, b)
-            if nxt not in names:
-                names[nxt] = len(rows)
-                rows.append([0] * (len(letters) + 1))
-                verdicts.append(verdict(nxt))
-                queue.append(nxt)
-            row.append(names[nxt])
-        rows[names[items]] = row
+        mask = queue.popleft()
+        steps = [after(at) for at in places(mask)]
+        other = 0
+        for o, _ in steps:
+            other |= o
+        row = np.full(len(letters) + 1, name(other), dtype=np.int32)
+        # a letter adds to what any other letter leads to
+        special: dict[int, int] = {}
+        for _, own in steps:
+            for b, to in own.items():
+                special[b] = special.get(b, other) | to
+        for b, to in special.items():
+            row[kinds[b]] = name(to)
+        rows[names[mask]] = row
     hit, edits = zip(*verdicts, strict=True)
     return LexiconAutomaton(kinds, np.array(rows, dtype=np.int32), np.array(hit, dtype=np.int64), np.array(edits, dtype=np.int64))
