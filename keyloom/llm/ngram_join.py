@@ -25,7 +25,9 @@ named by a 64-bit hash of the set, and only classes are joined.
    verified on their shared shingles, which hold the whole intersection. First
    each entry's classes meet one hub only (a star): the class with the least
    unshared shingles, which is what the original of a group of copies has. What
-   links joins into components. Then classes of one entry that are still in
+   links joins into components. This is done once before the index is built, by a
+   few shingles of each class, and shingles that only one component has count as
+   unshared from then on, so groups that are whole drop out. Then classes of one entry that are still in
    different components meet, all of them, so no component is missed. Entries of
    more than ``CROWD`` such classes are not written out as pairs: the classes that
    they hold together are dealt into blocks of ``BLOCK``, and each pair of blocks
@@ -58,9 +60,9 @@ from .components import components
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Shingles that a bucket takes in, about; the number of buckets follows the corpus.
-BUCKET_SHINGLES = 4_000_000
+BUCKET_SHINGLES = 1_000_000
 LEAST_BUCKETS = 64
 #: Low bits of a shingle's hash that are kept beside its bucket.
 LOW_BITS = 40
@@ -71,6 +73,8 @@ GROUP_SIZE = 16
 #: Classes of an entry, not yet in one component, from which blocks take the place of pairs.
 CROWD = 24
 BLOCK = 512
+#: Shared shingles of a class that look for a hub before the index is built.
+FIRST = 8
 #: Shingles that a block's matrix takes in at once.
 BLOCK_COLUMNS = 4096
 
@@ -449,15 +453,40 @@ def block_links(entries: DataFrame, zoned: DataFrame, candidates: DataFrame) ->
     return rows.groupBy("zone", "low", "high").applyInArrow(_link_block, "u long, v long")
 
 
+def narrowed(candidates: DataFrame, roots: DataFrame) -> DataFrame:
+    """The candidates that could still link outside their component, with the shingles that other components have.
+
+    Classes that link across components have only such shingles in common, so
+    the others go before them in the order, as unshared ones do.
+    """
+    spark = candidates.sparkSession
+    comps = candidates.select("key", "n", "tokens").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("comp", F.coalesce("root", "key"))
+    rows = comps.select("key", "n", "comp", F.explode("tokens").alias("token"))
+    foreign = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    found = rows.join(foreign, "token", "left_semi").groupBy("key", "n").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    return materialize(spark, found.where(_need(F.col("n"), F.size("tokens")) > 0).select("key", "n", "tokens"), "narrowed-sets")
+
+
+def first_links(candidates: DataFrame) -> DataFrame:
+    """(u, v): links of each class to one hub, by its first shared shingles alone; most groups of near copies join by these."""
+    spare = (1000 * (F.col("n") - F.size("tokens")) / F.col("n")).cast("long")
+    entries = candidates.select(F.explode(F.slice("tokens", 1, FIRST)).alias("entry"), "key", "n", spare.alias("spare"), F.col("key").alias("comp"))
+    return verify(star_pairs(entries), candidates).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
 def link_components(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(node, root) of the classes that link with another; None if none does."""
     spark = docs.sparkSession
     candidates = candidate_sets(docs, sets)
-    entries = index_table(candidates)
-    # an entry of a single class is no candidate
-    entries = materialize(spark, _mixed(_with_components(entries, None)).select("entry", "key", "n", "spare"), "index-shared")
     links: DataFrame | None = None
     roots: DataFrame | None = None
+    found = materialize(spark, first_links(candidates), "links")
+    if not found.isEmpty():
+        links, roots = found, components(found)
+        candidates = narrowed(candidates, roots)
+    entries = index_table(candidates)
+    # an entry of a single component is no candidate
+    entries = materialize(spark, _mixed(_with_components(entries, roots)).select("entry", "key", "n", "spare"), "index-shared")
     zoned: DataFrame | None = None
     for step in ("star", "blocks", "pairs"):
         rest = materialize(spark, _mixed(_with_components(entries, roots)), "open-entries")
