@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -55,8 +56,13 @@ ADDRESS = re.compile(r"\b(you|your|you're|ur|du|dich|dein|ihr|tu|toi|vous|ton|t
 N_FEATURES = 7
 
 
-def _words(text: str) -> set[str]:
-    return {w for w in re.findall(r"[^\W_]+", text.lower()) if not w.isdigit()}
+def _words(text: str) -> list[str]:
+    return [w for w in re.findall(r"[^\W_]+", text.lower()) if not w.isdigit()]
+
+
+def _terms_of(word: str) -> list[str]:
+    """The word, marked ``=``, and its beginnings, marked ``^``."""
+    return ["=" + word, *("^" + word[:n] for n in STEMS if len(word) >= n)] if 3 <= len(word) <= 32 else []
 
 
 def learn_lexicon(sample: DataFrame) -> list[Term]:
@@ -66,9 +72,7 @@ def learn_lexicon(sample: DataFrame) -> list[Term]:
         counts: dict[bool, Counter[str]] = {True: Counter(), False: Counter()}
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                words = {w for w in _words(text) if 3 <= len(w) <= 32}
-                counts[label == 1].update("=" + w for w in words)
-                counts[label == 1].update({"^" + w[:n] for w in words for n in STEMS if len(w) >= n})
+                counts[label == 1].update({t for w in set(_words(text)) for t in _terms_of(w)})
         names = [*counts[True].keys()]
         # a term of no toxic text is no candidate; what this partition lacks, another may have
         names += [t for t in counts[False] if t not in counts[True]]
@@ -84,9 +88,11 @@ def learn_lexicon(sample: DataFrame) -> list[Term]:
     found = found.where((F.col("toxic") >= 3) & (F.col("toxic") >= LEAST_PRECISION * (F.col("toxic") + F.col("clean"))))
     # the strongest terms have the most toxic texts for their clean ones; far more than the lexicon takes come back
     rows = found.orderBy(F.desc(F.col("toxic") - F.col("clean") * (n_toxic / n_clean)), "term").limit(40 * MAX_TERMS).collect()
+    places = context_counts(sample, [r["term"] for r in rows])
     scored = []
     for r in rows:
-        ratio = _likelihood_ratio(r["toxic"], n_toxic, r["clean"], n_clean)
+        # copies of one toxic text repeat its words between the same neighbours: they count as one
+        ratio = _likelihood_ratio(min(r["toxic"], places.get(r["term"], 0)), n_toxic, r["clean"], n_clean)
         if ratio >= LEAST_RATIO:
             weight = math.log((r["toxic"] + 0.5) / (n_toxic + 1)) - math.log((r["clean"] + 0.5) / (n_clean + 1))
             scored.append((-ratio, r["term"][0] == "^", -len(r["term"]), r["term"], weight))
@@ -107,6 +113,24 @@ def learn_lexicon(sample: DataFrame) -> list[Term]:
     return list(terms.values())
 
 
+def context_counts(sample: DataFrame, terms: list[str]) -> dict[str, int]:
+    """Between how many different pairs of neighbours each term stands in the toxic texts."""
+    sent = sample.sparkSession.sparkContext.broadcast(frozenset(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                words = ["", *_words(text), ""]
+                for before, word, after in zip(words, words[1:], words[2:], strict=False):
+                    seen.update((t, zlib.crc32(f"{before} {after}".encode())) for t in _terms_of(word) if t in sent.value)
+        found = list(zip(*seen, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found[0]), pa.string()), pa.array(list(found[1]), pa.int64())], names=["term", "place"])
+
+    pairs = sample.where("label = 1").select("text").mapInArrow(run, "term string, place long")
+    return {r["term"]: r["count"] for r in pairs.distinct().groupBy("term").count().collect()}
+
+
 def _likelihood_ratio(k1: int, n1: int, k2: int, n2: int) -> float:
     def ll(k: int, n: int, p: float) -> float:
         return (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if n - k else 0.0)
