@@ -71,19 +71,16 @@ HOT_SHARE = 1e-3
 HOT_LEAST = 1000
 
 
-def hot_from(n_rows: int) -> float:
-    return max(HOT_LEAST, n_rows * HOT_SHARE)
-
-
-def join_counted(left: DataFrame, right: DataFrame, key: str, counts: str, n_rows: int) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, key: str, counts: str, n_rows: int, least: int | None = None) -> DataFrame:
     """Inner join with a table of one row a key, whose column ``counts`` says how many of the left's ``n_rows`` rows have it.
 
-    Hot keys are joined by broadcast - their number is bounded by what makes
+    Keys of ``least`` rows or more, and a share of HOT_SHARE, are hot. Hot keys are joined by broadcast - their number is bounded by what makes
     them hot - and the others by shuffle, so no key's rows meet in one task.
     """
-    least = hot_from(n_rows)
+    least = max(HOT_LEAST if least is None else least, n_rows * HOT_SHARE)
     if n_rows < least:
         return left.join(right.drop(counts), key)
+    # rows of two numbers, 1 / HOT_SHARE at most
     hot = F.broadcast(right.where(F.col(counts) >= least).drop(counts))
     cold = right.where(F.col(counts) < least).drop(counts)
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))

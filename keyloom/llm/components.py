@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import join_counted, materialize
 
+#: Edges of a node, two numbers each, from which it doesn't share a task with others.
+HOT_EDGES = 50_000
+
 
 def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
     # a hub has as many edges as its group has members
-    return join_counted(both.where("v > u"), least, "u", "degree", 2 * n_edges).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return join_counted(both.where("v > u"), least, "u", "degree", 2 * n_edges, HOT_EDGES).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -28,11 +31,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     back to the driver, to see whether anything still changes.
     """
     spark = edges.sparkSession
-    now = materialize(spark, edges.select("u", "v").where("u <> v").distinct(), name)
-    mark, n_edges = None, now.count()
+    now, mark = _written(edges.select("u", "v").where("u <> v").distinct(), name)
     while True:
-        now = materialize(spark, _small_star(_large_star(now, n_edges)).distinct(), name)
-        seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now, seen = _written(_small_star(_large_star(now, mark[0])).distinct(), name)
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark, n_edges = seen, seen[0]
+        mark = seen
+
+
+def _written(edges: DataFrame, name: str) -> tuple[DataFrame, tuple[int, object]]:
+    """The edges, written, with their number and a sum of their hashes, taken while they were written."""
+    seen = Observation()
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")]
+    table = materialize(edges.sparkSession, edges.observe(seen, *sums), name)
+    return table, (seen.get["n"], seen.get["h"])

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bytescan import IS_SPACE, buffers, per_document, runs, slices, span_hashes
+from .bytescan import IS_SPACE, buffers, per_document, released, runs, slices, span_hashes
 from .common import two_columns
 from .training import held_out_flag, labelled_sample
 
@@ -130,15 +130,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityM
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], names=["doc_id", "label", "bag"])
 
     # an Arrow table is held once, and the bags are views of it
-    got = sample.select("doc_id", "label", "text").mapInArrow(bag, "doc_id long, label int, bag binary").toArrow().sort_by([("doc_id", "ascending"), ("bag", "ascending")])
+    got = sample.select("doc_id", "label", "text").mapInArrow(released(bag), "doc_id long, label int, bag binary").toArrow().sort_by([("doc_id", "ascending"), ("bag", "ascending")])
     y = np.array(got.column("label"), dtype=np.int64)
     if min((y == 0).sum(), (y == 1).sum()) < LEAST:
         return QualityModel(np.zeros(BUCKETS, dtype=np.float32), 30.0)
-    bags = []
-    for packed in got.column("bag"):
-        pair = np.frombuffer(packed.as_buffer(), dtype="<i4").reshape(2, -1)
-        bags.append((pair[0], (pair[1] / max(1, pair[1].sum())).astype(np.float32)))
-    return train(bags, y)
+    # two arrays hold all bags, and go back to the system whole
+    parts = [np.frombuffer(x.as_buffer(), dtype="<i4").reshape(2, -1) for x in got.column("bag")]
+    ends = np.cumsum([p.shape[1] for p in parts])
+    buckets, shares = np.concatenate([p[0] for p in parts]), np.concatenate([(p[1] / max(1, p[1].sum())).astype(np.float32) for p in parts])
+    del parts, got
+    pa.default_memory_pool().release_unused()
+    return train([(buckets[e - n : e], shares[e - n : e]) for e, n in zip(ends, np.diff(ends, prepend=0), strict=True)], y)
 
 
 SCHEMA = "doc_id long, score double, predicted int"
@@ -156,7 +158,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    scored = two_columns(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    scored = two_columns(docs, id_col, text_col).mapInArrow(released(run), SCHEMA)
     return scored.select("doc_id", held_out_flag(MODULUS, HELD_OUT).alias("held_out"), "score", "predicted")
 
 
@@ -176,4 +178,4 @@ def filter_rows(docs: DataFrame, model: QualityModel) -> DataFrame:
             z = np.concatenate([np.zeros(0), *(own.logits(part, cuts) for _, _, part, cuts in slices(data, offsets))])
             yield batch.filter(pa.array(z >= 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from keyloom.llm import common, digest_index, ngram_join
+from keyloom.llm import components as component_module
 from keyloom.llm.components import components
 
 from .helpers import edge_frame, edge_rows, empty_frame, same_rows
@@ -181,7 +182,7 @@ def test_join_counted_splits_hot_keys(spark, monkeypatch):
 
 @pytest.mark.parametrize("hot", [1000, 2])
 def test_components(spark, monkeypatch, hot):
-    monkeypatch.setattr(common, "HOT_LEAST", hot)
+    monkeypatch.setattr(component_module, "HOT_EDGES", hot)
     edges = [(i, i + 1) for i in range(20, 60)] + [(1, 2), (3, 2), (70, 9), (9, 70)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 20 for i in range(21, 61)) and got[2] == got[3] == 1 and got[70] == 9
