@@ -22,12 +22,12 @@ named by a 64-bit hash of the set, and only classes are joined.
    match means c - 1 or more members missing, so each group in use lengthens the
    prefix by one. Rare ones are indexed alone.
 3. **Candidates and verification.** Classes that share an index entry are
-   verified on their shared shingles, which hold the whole intersection. First
-   each entry's classes meet one hub only (a star): the class with the least
-   unshared shingles, which is what the original of a group of copies has. What
-   links joins into components. This is done once before the index is built, by a
-   few shingles of each class, and shingles that only one component has count as
-   unshared from then on, so groups that are whole drop out. Then classes of one entry that are still in
+   verified on their shared shingles, which hold the whole intersection. Before
+   the index is built, the classes that have one of a few shingles meet one hub
+   only (a star): the class with the least unshared shingles, which is what the
+   original of a group of copies has. What links joins into components, and
+   shingles that only one component has count as unshared from then on, so groups
+   that are whole drop out. Then classes of one entry that are still in
    different components meet, all of them, so no component is missed. Entries of
    more than ``CROWD`` such classes are not written out as pairs: the classes that
    they hold together are dealt into blocks of ``BLOCK``, and each pair of blocks
@@ -48,13 +48,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import IS_SPACE, LOWER, buffers, mix, runs, slices, span_hashes
+from .bytescan import IS_SPACE, LOWER, buffers, mix, released, runs, slices, span_hashes
 from .common import join_counted, materialize, two_columns
 from .components import components
 
@@ -134,7 +135,7 @@ def set_table(docs: DataFrame) -> DataFrame:
                 keys.append(key)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(keys))], names=["doc_id", "n", "key"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, key long")
+    return docs.mapInArrow(released(run), "doc_id long, n long, key long")
 
 
 def _blob(values: np.ndarray, width: int) -> bytes:
@@ -219,7 +220,7 @@ def shared_shingles(docs: DataFrame, bits: int) -> DataFrame:
         key, token = np.concatenate(ready_keys), np.concatenate(ready_tokens)
         return pa.table({"key": pa.array(key, pa.int64()), "token": pa.array(token.astype(np.int64))})
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, kind int, names binary, counts binary, tokens binary")
+    dealt = docs.select("text").mapInArrow(released(deal), "bucket int, kind int, names binary, counts binary, tokens binary")
     return dealt.groupBy("bucket").applyInArrow(gather, "key long, token long")
 
 
@@ -487,26 +488,16 @@ def link_components(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
     entries = index_table(candidates)
     # an entry of a single component is no candidate
     entries = materialize(spark, _mixed(_with_components(entries, roots)).select("entry", "key", "n", "spare"), "index-shared")
-    zoned: DataFrame | None = None
-    for step in ("star", "blocks", "pairs"):
-        rest = materialize(spark, _mixed(_with_components(entries, roots)), "open-entries")
-        if rest.isEmpty():
-            break
-        if step == "star":
-            found = verify(star_pairs(rest), candidates).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        elif step == "blocks":
-            zoned = zones(rest)
-            if zoned is None:
-                continue
-            found = block_links(rest, zoned, candidates)
-        else:
-            rest = _with_zones(rest, zoned)
-            found = verify(all_pairs(rest), candidates).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        found = materialize(spark, found, "links")
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+    rest = materialize(spark, _mixed(_with_components(entries, roots)), "open-entries")
+    if not rest.isEmpty():
+        parts = [] if links is None else [links]
+        zoned = zones(rest)
+        if zoned is not None:
+            parts.append(materialize(spark, block_links(rest, zoned, candidates), "links"))
+        found = verify(all_pairs(_with_zones(rest, zoned)), candidates).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        parts.append(materialize(spark, found, "links"))
+        links = reduce(DataFrame.unionByName, parts)
+        roots = None if links.isEmpty() else components(links)
     return roots
 
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import IS_ALNUM, buffers, runs, slices
+from .bytescan import IS_ALNUM, buffers, released, runs, slices
 from .common import two_columns
 from .levenshtein import LexiconAutomaton, Term, build
 from .training import held_out_flag, labelled_sample
@@ -84,7 +84,7 @@ def learn_lexicon(sample: DataFrame) -> list[Term]:
     n_toxic, n_clean = int(totals[0] or 0), int(totals[1] or 0)
     if min(n_toxic, n_clean) < LEAST:
         return []
-    found = sample.select("text", "label").mapInArrow(tally, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = sample.select("text", "label").mapInArrow(released(tally), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     found = found.where((F.col("toxic") >= 3) & (F.col("toxic") >= LEAST_PRECISION * (F.col("toxic") + F.col("clean"))))
     # the strongest terms have the most toxic texts for their clean ones; far more than the lexicon takes come back
     rows = found.orderBy(F.desc(F.col("toxic") - F.col("clean") * (n_toxic / n_clean)), "term").limit(40 * MAX_TERMS).collect()
@@ -246,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxicity
             x = np.concatenate([np.zeros((0, N_FEATURES)), *(sent.value.features(part, cuts) for _, _, part, cuts in slices(data, offsets))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    got = sample.select("doc_id", "label", "text").mapInArrow(hits, "doc_id long, label int, x array<double>").collect()
+    got = sample.select("doc_id", "label", "text").mapInArrow(released(hits), "doc_id long, label int, x array<double>").collect()
     got.sort(key=lambda r: (r["doc_id"], r["x"]))
     x, y = np.array([r["x"] for r in got]), np.array([r["label"] for r in got], dtype=float)
     # each toxic text once more as if its terms were misspelled by one edit: labelled texts may hold none such
@@ -268,7 +268,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             p = 1 / (1 + np.exp(-np.clip(sent.value.logits(batch.column(1)), -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    scored = two_columns(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    scored = two_columns(docs, id_col, text_col).mapInArrow(released(run), SCHEMA)
     return scored.select("doc_id", held_out_flag(MODULUS, HELD_OUT).alias("held_out"), "score", "predicted")
 
 
@@ -282,4 +282,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             text = pc.fill_null(batch.column(place), "")
             yield batch.filter(pa.array(sent.value.logits(text) < 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
