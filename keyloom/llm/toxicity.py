@@ -26,7 +26,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import IS_ALNUM, buffers, released, runs, slices
@@ -47,6 +47,8 @@ ORDINARY = 2e-3
 LEAST = 3
 #: Bytes of context read on each side of a hit, before words are counted.
 REACH = 160
+#: Terms with their places that a worker holds before it passes them on.
+PLACES_HELD = 200_000
 
 #: Signs of quotation and of address, in the languages of the corpus.
 QUOTE_MARKS = re.compile("[\"“”«»„‟‘]")
@@ -86,16 +88,14 @@ def learn_lexicon(sample: DataFrame) -> list[Term]:
         return []
     found = sample.select("text", "label").mapInArrow(released(tally), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     found = found.where((F.col("toxic") >= 3) & (F.col("toxic") >= LEAST_PRECISION * (F.col("toxic") + F.col("clean"))))
-    # the strongest terms have the most toxic texts for their clean ones; far more than the lexicon takes come back
-    rows = found.orderBy(F.desc(F.col("toxic") - F.col("clean") * (n_toxic / n_clean)), "term").limit(40 * MAX_TERMS).collect()
-    places = context_counts(sample, [r["term"] for r in rows])
+    # copies of one toxic text repeat its words between the same neighbours: they count as one, before any term is left out
+    found = found.join(context_counts(sample), "term")
+    found = found.withColumn("ratio", _likelihood_ratio(F.least("toxic", "places"), n_toxic, F.col("clean"), n_clean))
     scored = []
-    for r in rows:
-        # copies of one toxic text repeat its words between the same neighbours: they count as one
-        ratio = _likelihood_ratio(min(r["toxic"], places.get(r["term"], 0)), n_toxic, r["clean"], n_clean)
-        if ratio >= LEAST_RATIO:
-            weight = math.log((r["toxic"] + 0.5) / (n_toxic + 1)) - math.log((r["clean"] + 0.5) / (n_clean + 1))
-            scored.append((-ratio, r["term"][0] == "^", -len(r["term"]), r["term"], weight))
+    # strong terms of the bounded sample, all of them: stems and words that cover each other are told apart below
+    for r in found.where(F.col("ratio") >= LEAST_RATIO).select("term", "toxic", "clean", "ratio").collect():
+        weight = math.log((r["toxic"] + 0.5) / (n_toxic + 1)) - math.log((r["clean"] + 0.5) / (n_clean + 1))
+        scored.append((-r["ratio"], r["term"][0] == "^", -len(r["term"]), r["term"], weight))
     terms: dict[str, Term] = {}
     stems: set[str] = set()
     for _, stem, _, name, weight in sorted(scored):
@@ -113,31 +113,37 @@ def learn_lexicon(sample: DataFrame) -> list[Term]:
     return list(terms.values())
 
 
-def context_counts(sample: DataFrame, terms: list[str]) -> dict[str, int]:
-    """Between how many different pairs of neighbours each term stands in the toxic texts."""
-    sent = sample.sparkSession.sparkContext.broadcast(frozenset(terms))
+def context_counts(sample: DataFrame) -> DataFrame:
+    """(term, places): between how many different pairs of neighbours each term stands in the toxic texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int]] = set()
+
+        def flushed() -> pa.RecordBatch:
+            found = list(zip(*seen, strict=True)) or [(), ()]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(found[0]), pa.string()), pa.array(list(found[1]), pa.int64())], names=["term", "place"])
+
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 words = ["", *_words(text), ""]
                 for before, word, after in zip(words, words[1:], words[2:], strict=False):
-                    seen.update((t, zlib.crc32(f"{before} {after}".encode())) for t in _terms_of(word) if t in sent.value)
-        found = list(zip(*seen, strict=True)) or [(), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(found[0]), pa.string()), pa.array(list(found[1]), pa.int64())], names=["term", "place"])
+                    place = zlib.crc32(f"{before} {after}".encode())
+                    seen.update((t, place) for t in _terms_of(word))
+                    # what comes twice is made distinct below
+                    if len(seen) >= PLACES_HELD:
+                        yield flushed()
+        yield flushed()
 
-    pairs = sample.where("label = 1").select("text").mapInArrow(run, "term string, place long")
-    return {r["term"]: r["count"] for r in pairs.distinct().groupBy("term").count().collect()}
+    pairs = sample.where("label = 1").select("text").mapInArrow(released(run), "term string, place long")
+    return pairs.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("places"))
 
 
-def _likelihood_ratio(k1: int, n1: int, k2: int, n2: int) -> float:
-    def ll(k: int, n: int, p: float) -> float:
-        return (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if n - k else 0.0)
+def _likelihood_ratio(k1: Column, n1: int, k2: Column, n2: int) -> Column:
+    def ll(k: Column, n: int, p: Column) -> Column:
+        return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(k < n, (n - k) * F.log(1 - p)).otherwise(0.0)
 
     p = (k1 + k2) / (n1 + n2)
-    if not 0 < p < 1:
-        return 0.0
     return 2 * (ll(k1, n1, k1 / n1) + ll(k2, n2, k2 / n2) - ll(k1, n1, p) - ll(k2, n2, p))
 
 

@@ -86,6 +86,17 @@ def test_toxicity_learns_and_finds_misspellings(spark):
     assert kept == {i for i, r in got.items() if r["predicted"] == 0}
 
 
+def test_copies_of_a_long_toxic_text_leave_room_for_terms(spark):
+    rng = random.Random(8)
+    long_text = " ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(1500))
+    rows = [(i, text, t) for i, text, t in toxic_rows()]
+    n_toxic = sum(t for _, _, t in rows)
+    rows += [(1000 + i, long_text, 1) for i in range(2 * n_toxic)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, labels_frame(spark, [(i, 1, t) for i, _, t in rows]))
+    assert {t.text for t in model.terms} == {"zwopple", "kravitz", "snorgbat"}
+
+
 def test_quotation_and_address():
     context = lambda text, word: toxicity.ToxicityModel._context(np.frombuffer(text.encode(), np.uint8), 0, len(text.encode()), text.encode().index(word.encode()), text.encode().index(word.encode()) + len(word))
     assert context('they said "zwopple here" again', "zwopple") == (1, 0)
