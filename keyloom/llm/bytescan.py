@@ -103,6 +103,21 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, per_doc
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, byte where each starts, and the end) of valid UTF-8."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    points = data[at].astype(np.int32)
+    many = np.flatnonzero(points >= 0xC0)
+    first, start = points[many], at[many]
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    value = first & (0x7F >> size)
+    for k in range(1, 4):
+        more = size > k
+        value[more] = value[more] << 6 | data[start[more] + k] & 0x3F
+    points[many] = value
+    return points, np.append(at, len(data))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span's bytes, equal for equal spans; the spans ascend."""
     out = np.empty(len(starts), dtype=np.uint64)

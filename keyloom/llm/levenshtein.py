@@ -1,9 +1,9 @@
 """A lexicon trie intersected with Levenshtein automata, as one deterministic table.
 
 A state of the table is the set of all (trie node, edits so far) that a word's
-bytes may have led to, for all terms at once; accepting states name the closest
-term. Words of a batch run through the table side by side, one byte at a time,
-and those that no term can match any more drop out, mostly after a few bytes.
+characters may have led to, for all terms at once; accepting states name the
+closest term. Words of a batch run through the table side by side, one code point
+at a time, and those that no term can match any more drop out, mostly after a few.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ class Term:
 
 @dataclass
 class LexiconAutomaton:
-    """``table[state, kind of byte]``: next state, 0 is dead; ``hit[state]``: term or -1; ``edits[state]``."""
+    """``table[state, kind of code point]``: next state, 0 is dead; ``hit[state]``: term or -1; ``edits[state]``."""
 
     kinds: np.ndarray
     table: np.ndarray
@@ -35,7 +35,7 @@ class LexiconAutomaton:
     edits: np.ndarray
 
     def match(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, term, edits) of each word that is within a term's edits."""
+        """(word, term, edits) of each word that is within a term's edits; ``data``: code points."""
         live = np.arange(len(starts))
         state = np.ones(len(starts), dtype=np.int64)
         at = starts.copy()
@@ -48,7 +48,7 @@ class LexiconAutomaton:
                 live, state, at = live[~over], state[~over], at[~over]
                 if not len(live):
                     break
-            state = self.table[state, self.kinds[data[at]]]
+            state = self.table[state, self.kinds.take(data[at], mode="clip")]
             at = at + 1
             # states that accept whatever follows are done
             go = state > 0
@@ -76,7 +76,7 @@ def build(terms: list[Term]) -> LexiconAutomaton:
     for k, term in enumerate(terms):
         node = 0
         allowed[0] = max(allowed[0], term.edits)
-        for b in term.text.encode():
+        for b in map(ord, term.text):
             if b not in children[node]:
                 children[node][b] = len(children)
                 children.append({})
@@ -86,7 +86,8 @@ def build(terms: list[Term]) -> LexiconAutomaton:
             allowed[node] = max(allowed[node], term.edits)
         ends[node].append(k)
     letters = sorted({b for c in children for b in c})
-    kinds = np.zeros(256, dtype=np.int64)
+    # the last kind, of no letter, is also that of all code points beyond
+    kinds = np.zeros(max(letters, default=0) + 2, dtype=np.int64)
     for k, b in enumerate(letters):
         kinds[b] = k + 1
     wide, n_nodes = max([t.edits for t in terms], default=0) + 1, len(children)

@@ -22,6 +22,8 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cache
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import IS_ALNUM, buffers, released, runs, slices
+from .bytescan import buffers, code_points, released, runs, slices
 from .common import two_columns
 from .levenshtein import LexiconAutomaton, Term, build
 from .training import held_out_flag, labelled_sample
@@ -59,7 +61,26 @@ N_FEATURES = 7
 
 
 def _words(text: str) -> list[str]:
-    return [w for w in re.findall(r"[^\W_]+", text.lower()) if not w.isdigit()]
+    return [w for w in _word_pattern().findall(text.lower()) if not w.isdigit()]
+
+
+@cache
+def word_characters() -> np.ndarray:
+    """Code point -> is it part of a word: letters, digits, marks that combine with them, and the soft hyphen."""
+    return np.array([c.isalnum() or c == "\xad" or category(c)[0] == "M" for c in map(chr, range(0x110000))])
+
+
+@cache
+def _word_pattern() -> re.Pattern:
+    starts, ends, _ = runs(word_characters(), np.array([0, 0x110000]))
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in zip(starts.tolist(), ends.tolist(), strict=True)) + "]+")
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, start, end of each word in them, words of each document, byte where each code point starts and the end)."""
+    points, at = code_points(data)
+    starts, ends, per_doc = runs(word_characters()[points], np.searchsorted(at, offsets))
+    return points, starts, ends, per_doc, at
 
 
 def _terms_of(word: str) -> list[str]:
@@ -159,14 +180,14 @@ class ToxicityModel:
         out = np.zeros((len(offsets) - 1, N_FEATURES))
         if not self.terms:
             return out
-        starts, ends, per_doc = runs(IS_ALNUM[data], offsets)
-        words, terms, edits = self.automaton.match(data, starts, ends)
+        points, starts, ends, per_doc, at = words_of(data, offsets)
+        words, terms, edits = self.automaton.match(points, starts, ends)
         if not len(words):
             return out
         doc_of = np.searchsorted(np.cumsum(per_doc), words, side="right")
         sums: dict[int, list] = {}
         for word, term, edit, doc in zip(words.tolist(), terms.tolist(), edits.tolist(), doc_of.tolist(), strict=True):
-            quoted, address = self._context(data, int(offsets[doc]), int(offsets[doc + 1]), int(starts[word]), int(ends[word]))
+            quoted, address = self._context(data, int(offsets[doc]), int(offsets[doc + 1]), int(at[starts[word]]), int(at[ends[word]]))
             own = sums.setdefault(doc, [0.0] * 5 + [set()])
             weight = self.terms[term].weight / (1 + edit)
             own[(2 if edit else 0) + quoted] += weight
@@ -220,8 +241,8 @@ def trusted_edits(sample: DataFrame, terms: list[Term]) -> list[Term]:
             clean = np.array(batch.column("label")) == 0
             found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for first, _, part, cuts in slices(data, offsets):
-                starts, ends, per_doc = runs(IS_ALNUM[part], cuts)
-                words, hits, edits = automaton.match(part, starts, ends)
+                points, starts, ends, per_doc, _ = words_of(part, cuts)
+                words, hits, edits = automaton.match(points, starts, ends)
                 doc = first + np.searchsorted(np.cumsum(per_doc), words, side="right")
                 some = (edits > 0) & clean[doc]
                 found.append((hits[some], doc[some]))

@@ -97,6 +97,25 @@ def test_copies_of_a_long_toxic_text_leave_room_for_terms(spark):
     assert {t.text for t in model.terms} == {"zwopple", "kravitz", "snorgbat"}
 
 
+def test_words_end_at_punctuation_beyond_ascii():
+    terms = [Term("idiota", False, 1.0, 1), Term("zwopp", True, 1.0, 0), Term("größenwahn", False, 1.0, 0)]
+    model = toxicity.ToxicityModel(terms, build(terms), np.ones(toxicity.N_FEATURES), 0.0)
+    found = ["¡idiota!", "«idiota»", "“idiota”", "—idiota…", "x\xa0idiota\xa0y", "idiöta", "idióta", "idi\u0301ota", "“zwopple”", "„Größenwahn“", "漢字、idiota。", "😀idiota"]
+    missed = ["", "ïdiöta", "“zwapple”", "é", "größenwähn", "idi漢字ta"]
+    for text in found + missed:
+        hits = model.features(*bytescan.buffers(pa.array([text.lower()])))
+        assert bool(hits.any()) == (text in found), text
+    # several texts at once: each keeps its own hits, and the bytes around a hit are its text's
+    alone = [model.features(*bytescan.buffers(pa.array([t.lower()])))[0] for t in found + missed]
+    assert (model.features(*bytescan.buffers(pa.array([t.lower() for t in found + missed]))) == np.array(alone)).all()
+
+
+def test_code_points():
+    text = "aé“漢😀\xa0z\U0010ffff"
+    points, at = bytescan.code_points(np.frombuffer(text.encode(), np.uint8))
+    assert points.tolist() == list(map(ord, text)) and at.tolist() == [len(text[:k].encode()) for k in range(len(text) + 1)]
+
+
 def test_quotation_and_address():
     context = lambda text, word: toxicity.ToxicityModel._context(np.frombuffer(text.encode(), np.uint8), 0, len(text.encode()), text.encode().index(word.encode()), text.encode().index(word.encode()) + len(word))
     assert context('they said "zwopple here" again', "zwopple") == (1, 0)
