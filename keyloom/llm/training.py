@@ -9,10 +9,11 @@ from .common import fold, materialize, two_columns
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held_out: int, rows: int, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most ``rows`` labelled texts outside the held-out fold: doc_id, text, label.
+    """Texts of at most ``rows`` labelled ids outside the held-out fold: doc_id, text, label.
 
-    The ids with the smallest hashes are taken, so the same rows come back at
-    each run. A label other than 0 or 1, or a null id, is no label.
+    The ids with the smallest hashes are taken, and of an id with several texts
+    the two with the smallest and the largest hash, so the same rows come back
+    at each run, however many rows repeat an id. A label other than 0 or 1, or a null id, is no label.
     """
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label"))
     known = known.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), modulus) != held_out))
@@ -22,7 +23,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus:
     chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = materialize(docs.sparkSession, chosen, f"{name}-ids")
     # ``rows`` rows of two integers at most
-    sample = texts.join(F.broadcast(chosen), "doc_id").limit(2 * rows)
+    found = texts.join(F.broadcast(chosen), "doc_id").withColumn("_pick", F.struct(F.xxhash64("text").alias("hash"), "text"))
+    # each task keeps two texts of an id before any is moved
+    ends = found.groupBy("doc_id", "label").agg(F.min("_pick").alias("_low"), F.max("_pick").alias("_high"))
+    sample = ends.select("doc_id", F.explode(F.array_distinct(F.array("_low.text", "_high.text"))).alias("text"), "label")
     return materialize(docs.sparkSession, sample, f"{name}-sample")
 
 
