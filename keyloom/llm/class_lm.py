@@ -8,9 +8,9 @@ Everything after works on blocks, and every count covers all training texts.
    training tokens (so ``1 / FREQUENT`` words at most) are clustered by the
    exchange algorithm on the bigram counts among them: each word in turn moves to
    the class that raises the class-bigram likelihood most.
-2. **All other words** make one exchange step each: every block votes for the
-   class that its contexts favour by pointwise mutual information with the
-   classes around it, and the votes are added up over all blocks.
+2. **All other words** make one exchange step each: the classes before and after
+   a word, as far as its neighbours have one, are counted over all blocks, and the
+   word joins the class whose gain by these counts is largest.
 3. **Counts** of words, classes and class transitions over all training texts.
 4. **Scores.** ``P(word | before) = P(class | class before) * P(word | class)``.
    Transitions are smoothed towards the class frequencies; a class gives its
@@ -53,6 +53,8 @@ TRANSITION_PRIOR = 20.0
 #: Classes beyond those of the exchange: words without context, and the end.
 LOOSE, END = CLASSES, CLASSES + 1
 N_CLASSES = CLASSES + 2
+#: What is counted beside a word: a class before it, a class after it, its own class where it is known.
+CODES = 3 * N_CLASSES
 UNKNOWN = 255
 #: Words of all blocks that a bucket of hashes takes in, about; and the bytes of a hash that are kept beside its bucket.
 BUCKET_WORDS = 1_000_000
@@ -242,14 +244,12 @@ def exchange(bigrams: np.ndarray, n_classes: int = CLASSES, passes: int = PASSES
     return of[:m], history
 
 
-def _information(bigrams: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Pointwise mutual information of each class with the one after it; start is row LOOSE, end column END."""
+def _class_bigrams(bigrams: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Counts of each class with the one after it; start is row LOOSE, end column END."""
     of = np.concatenate([classes, [LOOSE, END]]).astype(np.int64)
     table = np.zeros((N_CLASSES, N_CLASSES))
     np.add.at(table, (of[:, None], of[None, :]), bigrams)
-    total = max(table.sum(), 1.0)
-    left, right = table.sum(axis=1, keepdims=True) + 0.5, table.sum(axis=0, keepdims=True) + 0.5
-    return np.log((table + 0.5 * left * right / total / total + 0.05) * total / (left * right))
+    return table
 
 
 def _low_bytes(hashes: np.ndarray) -> bytes:
@@ -262,56 +262,85 @@ def _from_low_bytes(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _context_scores(numbers: np.ndarray, beside: list[np.ndarray], gains: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(favoured class, number of contexts) of each word; ``beside``: classes before and after each of its places."""
-    vote, weight = np.full(size, LOOSE, dtype=np.int64), np.zeros(size, dtype=np.int64)
-    step = 1 << 15
-    order = np.argsort(numbers, kind="stable")
-    numbers, beside = numbers[order], [b[order] for b in beside]
+def best_classes(keys: np.ndarray, amounts: np.ndarray, size: int, table: np.ndarray) -> np.ndarray:
+    """The class of each word by the exchange gain against the classes' bigrams ``table``.
+
+    ``keys`` ascend: word * CODES + code, where codes are a class before the word, a class after it, or its known class.
+    """
+    out = np.full(size, LOOSE, dtype=np.uint8)
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    # how often each class stands beside what a code stands for
+    beside = np.concatenate([table[:, :CLASSES], table[:CLASSES].T])
+    of_beside, rows, cols, d = f(beside), table.sum(axis=1)[:CLASSES], table.sum(axis=0)[:CLASSES], np.diag(table)[:CLASSES]
+    # a class without words has no contexts to be like
+    empty = rows + cols == 0
+    step = 1 << 12
     for first in range(0, size, step):
-        a, b = np.searchsorted(numbers, [first, first + step])
-        n = min(step, size - first)
-        scores = np.zeros((n, CLASSES), dtype=np.float32)
-        for classes, gain in zip(beside, gains, strict=True):
-            some = classes[a:b] >= 0
-            around = np.bincount((numbers[a:b][some] - first) * N_CLASSES + classes[a:b][some], minlength=n * N_CLASSES).reshape(n, N_CLASSES)
-            scores += around.astype(np.float32) @ gain.astype(np.float32)
-            weight[first : first + n] += around.sum(axis=1)
-        vote[first : first + n] = np.where(weight[first : first + n] > 0, scores.argmax(axis=1), LOOSE)
-    return vote, weight
-
-
-def word_votes(blocks: DataFrame, bits: int, frequent: np.ndarray, classes: np.ndarray, information: np.ndarray) -> DataFrame:
-    """(bucket, block, words, votes, weights, counts): each block's class for each of its words, dealt by the words' hashes."""
-    sent = blocks.sparkSession.sparkContext.broadcast((frequent, classes, information))
+        a, b = np.searchsorted(keys, [first * CODES, (first + step) * CODES])
+        word, code = np.divmod(keys[a:b] - first * CODES, CODES)
+        known = code >= 2 * N_CLASSES
+        out[first + word[known]] = code[known] - 2 * N_CLASSES
+        word, code, n = word[~known], code[~known], amounts[a:b][~known]
+        if not len(word) or empty.all():
+            continue
+        own, starts, word = np.unique(word, return_index=True, return_inverse=True)
+        gain = np.add.reduceat(f(beside[code] + n[:, None]) - of_beside[code], starts, axis=0)
+        around = np.zeros((len(own), 2 * N_CLASSES))
+        around[word, code] = n
+        l, r = around[:, :N_CLASSES], around[:, N_CLASSES:]
+        n_l, n_r, l, r = l.sum(axis=1, keepdims=True), r.sum(axis=1, keepdims=True), l[:, :CLASSES], r[:, :CLASSES]
+        gain += f(d + r + l) - f(d + r) - f(d + l) + f(d)
+        gain -= f(rows + l + n_r) - f(rows + l) + f(cols + r + n_l) - f(cols + r)
+        gain[:, empty] = -np.inf
+        out[first + own] = gain.argmax(axis=1)
+    return out
+
+
+def word_contexts(blocks: DataFrame, bits: int, frequent: np.ndarray, classes: np.ndarray) -> DataFrame:
+    """(bucket, block, words, counts, sizes, codes, amounts): each block's words with the classes beside them, dealt by the words' hashes.
+
+    A word has ``sizes`` codes, each with an amount; see ``best_classes``.
+    """
+    sent = blocks.sparkSession.sparkContext.broadcast((frequent, classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, classes, information = sent.value
+        frequent, classes = sent.value
         for block in _rows(batches):
             size = len(block.vocabulary)
             if not size:
                 continue
             at = _position(block.vocabulary, frequent)
             known = np.where(at >= 0, classes[at] if len(classes) else -1, -1)
-            seq, inside = block.sequence(known, LOOSE, END)
-            numbers, _ = block.sequence(np.arange(size), -1, -1)
-            place = np.flatnonzero(inside)
-            vote, weight = _context_scores(numbers[place], [seq[place - 1], seq[place + 1]], [information[:, :CLASSES], information[:CLASSES].T], size)
-            vote = np.where(known >= 0, known, vote).astype(np.uint8)
             hashes = block.vocabulary.view(np.uint64)
             order = np.argsort(hashes)
-            hashes, vote, weight, counts = hashes[order], vote[order], weight[order].astype(np.int32), block.counts[order].astype(np.int32)
+            rank = np.empty(size, dtype=np.int64)
+            rank[order] = np.arange(size)
+            seq, inside = block.sequence(known, LOOSE, END)
+            numbers, _ = block.sequence(np.where(known >= 0, -1, rank), -1, -1)
+            place = np.flatnonzero(inside & (numbers >= 0))
+            keys = [rank[known >= 0] * CODES + 2 * N_CLASSES + known[known >= 0]]
+            for k, near in enumerate((seq[place - 1], seq[place + 1])):
+                keys.append(numbers[place][near >= 0] * CODES + k * N_CLASSES + near[near >= 0])
+            keys, amounts = np.unique(np.concatenate(keys), return_counts=True)
+            word, codes = np.divmod(keys, CODES)
+            sizes = np.bincount(word, minlength=size)
+            hashes, counts = hashes[order], block.counts[order].astype(np.int32)
             bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            rows = [(int(bucket[a]), block.name, _low_bytes(hashes[a:b]), _pack(vote[a:b]), _pack(weight[a:b]), _pack(counts[a:b])) for a, b in zip(cuts, [*cuts[1:], size], strict=True)]
+            upto = np.concatenate([[0], np.cumsum(sizes)])
+            sizes, codes, amounts = sizes.astype(np.uint8), codes.astype(np.uint8), amounts.astype(np.int32)
+            rows = [
+                (int(bucket[a]), block.name, _low_bytes(hashes[a:b]), *map(_pack, (counts[a:b], sizes[a:b], codes[upto[a] : upto[b]], amounts[upto[a] : upto[b]])))
+                for a, b in zip(cuts, [*cuts[1:], size], strict=True)
+            ]
             columns = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "block", "words", "votes", "weights", "counts"])
+            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "block", "words", "counts", "sizes", "codes", "amounts"])
 
-    return blocks.mapInArrow(run, "bucket long, block long, words binary, votes binary, weights binary, counts binary")
+    return blocks.mapInArrow(run, "bucket long, block long, words binary, counts binary, sizes binary, codes binary, amounts binary")
 
 
-def word_table(votes: DataFrame) -> DataFrame:
+def word_table(contexts: DataFrame, bigrams: np.ndarray) -> DataFrame:
     """(block, bucket, c, class, first): for a block's words of a bucket, by hash, the training counts, classes, and whether no earlier block has them.
 
     A word comes once a block, so a bucket's rows follow the number of blocks, not a word's occurrences.
@@ -321,14 +350,12 @@ def word_table(votes: DataFrame) -> DataFrame:
         table = table.sort_by("block")
         words = [_from_low_bytes(x) for x in table.column("words").to_pylist()]
         sizes = np.array([len(w) for w in words], dtype=np.int64)
-        vote = np.concatenate([_unpack(x, "uint8") for x in table.column("votes").to_pylist()]).astype(np.int64)
-        weight = np.concatenate([_unpack(x, "int32") for x in table.column("weights").to_pylist()])
-        n = np.concatenate([_unpack(x, "int32") for x in table.column("counts").to_pylist()])
+        n, codes_each, codes, amounts = (np.concatenate([_unpack(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("counts", "int32"), ("sizes", "uint8"), ("codes", "uint8"), ("amounts", "int32")))
         types, first_at, word = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
         c = np.bincount(word, weights=n, minlength=len(types)).astype(np.int64)
-        # votes with a little for each block, so that words without any context have their class too
-        tally = np.bincount(word * N_CLASSES + vote, weights=weight + 1e-3, minlength=len(types) * N_CLASSES).reshape(-1, N_CLASSES)
-        of = tally.argmax(axis=1).astype(np.uint8)
+        # the same word and code of all blocks are one
+        keys, place = np.unique(np.repeat(word, codes_each) * CODES + codes, return_inverse=True)
+        of = best_classes(keys, np.bincount(place, weights=amounts, minlength=len(keys)), len(types), bigrams)
         first = np.zeros(len(word), dtype=np.uint8)
         first[first_at] = 1
         ends = np.cumsum(sizes)
@@ -336,7 +363,7 @@ def word_table(votes: DataFrame) -> DataFrame:
         made = {name: pa.array([p[i] for p in parts], pa.binary()) for i, name in enumerate(("c", "class", "first"))}
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket")} | made)
 
-    return votes.groupBy("bucket").applyInArrow(run, "block long, bucket long, c binary, class binary, first binary")
+    return contexts.groupBy("bucket").applyInArrow(run, "block long, bucket long, c binary, class binary, first binary")
 
 
 SEQUENCE_SCHEMA = "kind int, doc_id bigint, n_words bigint, n_known bigint, base double, emission double, train boolean, data binary"
@@ -446,8 +473,8 @@ def train(spark: SparkSession, docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     classes, _ = exchange(bigrams)
     pairs = blocks.agg(F.sum("n_types")).first()[0] or 0
     bits = max(8, math.ceil(pairs / BUCKET_WORDS).bit_length())
-    votes = word_votes(blocks, bits, frequent, classes, _information(bigrams, classes))
-    sequences = materialize(spark, class_sequences(blocks, word_table(votes)), "class-sequences")
+    contexts = word_contexts(blocks, bits, frequent, classes)
+    sequences = materialize(spark, class_sequences(blocks, word_table(contexts, _class_bigrams(bigrams, classes))), "class-sequences")
     return ClassModel(*transition_counts(sequences)), sequences
 
 

@@ -23,6 +23,22 @@ from .helpers import edge_frame, edge_rows, empty_frame, same_rows
 # -- language model ----------------------------------------------------------
 
 
+def test_classes_dont_depend_on_blocks(spark):
+    rng = random.Random(9)
+    common = [f"{x}{k}" for x in "ab" for k in range(20)]
+    rare = [f"rare{k}" for k in range(500) for _ in range(4)]
+    rng.shuffle(rare)
+    rows = []
+    for i in range(400):
+        words = [rng.choice(common[20:] if k % 2 else common[:20]) for k in range(100)]
+        for w in rare[5 * i : 5 * i + 5]:
+            words.insert(rng.randrange(len(words)), w)
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (sorted((r["doc_id"], round(r["score"], 6)) for r in class_lm.score_documents(frame).collect()) for frame in (df.coalesce(1), df.repartition(9)))
+    assert one == many
+
+
 def language_rows(n=300, seed=5):
     rng = random.Random(seed)
     tongues = [["le", "la", "et", "un"], ["the", "a", "and", "of"]]
