@@ -91,7 +91,7 @@ class LicenseScanner:
             for start, end in self._windows(joined, len(notice), edits, pieces):
                 # windows are cut at bytes; characters that are cut in two stand for others, outside the match
                 text = joined[start:end].decode("utf-8", "replace")
-                for m in pattern.finditer(text):
+                for m in self._places(pattern, text):
                     if not m.group().strip():
                         continue
                     at = start + len(text[: m.start()].encode())
@@ -102,6 +102,18 @@ class LicenseScanner:
                     found.setdefault((notice, word), Hit(label, notice, word, at, at + len(m.group().encode()), sum(m.fuzzy_counts)))
         return sorted(found.values(), key=lambda h: (h.first_word, h.label))
 
+    @staticmethod
+    def _places(pattern: regex.Pattern, text: str) -> list[regex.Match]:
+        """The best match, and likewise what lies before and behind it, in the order of the text."""
+        found, todo = [], [(0, len(text))]
+        while todo:
+            low, high = todo.pop()
+            m = pattern.search(text, low, high)
+            if m and m.end() > m.start():
+                found.append(m)
+                todo += [(low, m.start()), (m.end(), high)]
+        return sorted(found, key=lambda m: m.start())
+
     @staticmethod
     def _windows(joined: bytes, n: int, edits: int, pieces: list[tuple[bytes, int]]) -> list[tuple[int, int]]:
         """Where a match could lie, from the seeds; overlapping windows are one."""

@@ -256,6 +256,12 @@ def test_license_spans(spark):
     assert [tuple(r) for r in license_scan.find_notices(df).collect()] == [(1, "mit", 1, 2, "undr the mit licence")]
 
 
+def test_license_places_before_a_better_one():
+    scanner = license_scan.LicenseScanner()
+    joined = scanner.words(b"gnu generl public license gnu general public license gnu genral public licens agnu general public license")
+    assert [(h.first_word, h.edits) for h in scanner.hits(joined)] == [(0, 1), (4, 0), (8, 2), (12, 1)]
+
+
 # -- BPE -----------------------------------------------------------------------
 
 
