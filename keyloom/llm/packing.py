@@ -1,9 +1,10 @@
 """Packing by length: optimal buckets from the global histogram, then token-budget batches.
 
 The length of a text is its number of words ``[^\\x20\\x09-\\x0D]+``, at least 1.
-Lengths above ``EXACT`` are counted in bins of a relative width of 1/1024, so
-the histogram has a bounded number of bins whatever the input; a bin's bound is
-the largest length it holds. Dynamic programming over the bins picks at most
+Every length is counted exactly, unless there are more than ``MOST_LENGTHS``
+different ones; then those above ``EXACT`` are counted in bins of a relative
+width of 1/1024, so the histogram is bounded whatever the input, and a bin's bound
+is the largest length it holds. Dynamic programming over the bins picks at most
 ``n_buckets`` bounds with the least total padding (of equal plans, the one whose
 last cuts are leftmost). Inside each bucket the texts stand in the order of
 the MD5 of their id and fill batches of ``budget // bound`` rows (at least one).
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, materialize, two_columns
 
 EXACT = 1 << 14
+MOST_LENGTHS = 1 << 16
 N_BUCKETS = 8
 TOKEN_BUDGET = 65_536
 #: Leading hex digits of the MD5 that deal a bucket's rows out; 16**3 shares at most.
@@ -81,10 +83,13 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> l
 
 
 def length_histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(largest length, count) of each bin; the number of bins is bounded."""
-    rows = lengths.groupBy(bin_of(F.col("n_words")).alias("bin")).agg(F.max("n_words").alias("top"), F.count(F.lit(1)).alias("n")).collect()
-    rows.sort(key=lambda r: r["top"])
-    return np.array([r["top"] for r in rows], dtype=np.int64), np.array([r["n"] for r in rows], dtype=np.int64)
+    """(length, count) of each length, or (largest length, count) of each bin where lengths are too many."""
+    counted = lengths.groupBy(F.col("n_words").alias("top")).agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.limit(MOST_LENGTHS + 1).toArrow()
+    if len(rows) > MOST_LENGTHS:
+        rows = lengths.groupBy(bin_of(F.col("n_words")).alias("bin")).agg(F.max("n_words").alias("top"), F.count(F.lit(1)).alias("n")).drop("bin").toArrow()
+    rows = rows.sort_by("top")
+    return np.array(rows.column("top"), dtype=np.int64), np.array(rows.column("n"), dtype=np.int64)
 
 
 def pack(docs: DataFrame, n_buckets: int = N_BUCKETS, budget: int = TOKEN_BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -204,6 +204,15 @@ def test_bins_are_bounded(spark):
     assert worst[0] < 1 / 1000 and worst[1] == 0
 
 
+def test_lengths_of_one_bin_are_told_apart(spark, monkeypatch):
+    n_words = [16_400] * 5 + [16_401] * 5 + [16_410]
+    df = spark.createDataFrame([(k, "w " * n) for k, n in enumerate(n_words)], "doc_id long, text string")
+    bounds = lambda: {r["bucket_bound"] for r in packing.pack(df, n_buckets=2).collect()}
+    assert bounds() == {16_401, 16_410}
+    monkeypatch.setattr(packing, "MOST_LENGTHS", 2)
+    assert bounds() == {16_410}
+
+
 # -- license scan --------------------------------------------------------------
 
 
