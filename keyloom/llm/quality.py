@@ -30,7 +30,7 @@ from .training import held_out_flag, labelled_sample
 BUCKETS = 1 << 16
 GRAMS = (3, 5)
 WIDTH = 8
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 4000
 EPOCHS = 12
 RATE = 0.3
 MODULUS, HELD_OUT = 3, 1
