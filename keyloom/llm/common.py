@@ -1,48 +1,16 @@
-"""Plumbing shared by the operators: shared scratch space, input checks, helpers."""
+"""Plumbing shared by the operators: input columns, folds, and joins of hot keys."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes that separate words in the contracts of this subpackage.
-SPACE_CLASS = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local session may lack the setting; it then gets a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = getattr(spark, "_keyloom_scratch", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="keyloom-", dir=os.environ.get("TMPDIR"))
-        spark._keyloom_scratch = own
-    return own
+from ..scratch import mark, materialize, release, scratch_path
 
+__all__ = ["SPACE_CLASS", "fold", "join_counted", "mark", "materialize", "read_table", "release", "scratch_path", "shuffle_partitions", "two_columns"]
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/keyloom/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a reader of it.
-
-    This cuts the lineage in a way that survives lost executors: the files are
-    in the shared folder, not on an executor's disk.
-    """
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes that separate words in the contracts of this subpackage.
+SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
 def two_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
