@@ -142,9 +142,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def per_document(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sum of the values of each document, whose values stand one after another."""
-    totals = np.concatenate([[0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
-    ends = np.cumsum(counts)
-    return totals[ends] - totals[ends - counts]
+    out = np.zeros(len(counts), dtype=np.float64 if values.dtype.kind == "f" else np.int64)
+    filled = np.flatnonzero(counts)
+    if len(filled):
+        # each document is summed by itself, so its sum doesn't depend on its neighbours
+        out[filled] = np.add.reduceat(values.astype(out.dtype, copy=False), (np.cumsum(counts) - counts)[filled])
+    return out
 
 
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -1,11 +1,13 @@
 """Quality classifier: supervised subword embeddings, averaged, with a softmax.
 
-A text's features are its words, pairs of equal neighbouring words and its
+A text's features are its words, its pairs of neighbouring words and its
 character n-grams (as bytes, case kept), each hashed to one of ``BUCKETS``
-learned vectors; their mean goes through a softmax. The vectors and the softmax
+learned vectors. Each kind of feature is averaged by itself, so that the many
+character n-grams don't drown the words, and the mean of the kinds' averages goes
+through a softmax. The vectors and the softmax
 are trained by stochastic gradient descent in numpy, with a step for each
 coordinate that shrinks with its past gradients, on a bounded sample of labelled
-texts (``SAMPLE_ROWS``, read whole). To score, the softmax is folded into the
+texts (``SAMPLE_ROWS``, read whole), by one task of an executor. To score, the softmax is folded into the
 vectors: one number for each bucket, a table of fixed size, so a text's score is
 the mean of table entries. Scoring is a map: nothing is shuffled.
 
@@ -16,6 +18,7 @@ scored each for itself; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,12 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bytescan import IS_SPACE, buffers, per_document, released, runs, slices, span_hashes
+from .bytescan import IS_SPACE, buffers, mix, per_document, released, runs, slices, span_hashes
 from .common import two_columns
 from .training import held_out_flag, labelled_sample
 
 BUCKETS = 1 << 16
 GRAMS = (3, 5)
+#: Kinds of features: words, pairs of words, and the character n-grams of each length.
+KINDS = 2 + len(GRAMS)
 WIDTH = 8
 SAMPLE_ROWS = 4000
 EPOCHS = 12
@@ -36,6 +41,8 @@ RATE = 0.3
 MODULUS, HELD_OUT = 3, 1
 #: Texts of each class below which nothing is learned.
 LEAST = 3
+#: Keeps the hashes of pairs apart from those of words.
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -43,13 +50,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     starts, ends, per_doc = runs(~IS_SPACE[data], offsets)
     words = span_hashes(data, starts, ends)
     yield (words >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1), per_doc
-    # a word that repeats its neighbour, within a document; it weighs as much as the word's own n-grams
-    again = np.zeros(len(words), dtype=np.int64)
-    again[1:] = words[1:] == words[:-1]
-    firsts = (np.cumsum(per_doc) - per_doc)[per_doc > 0]
-    again[firsts] = 0
-    again *= len(GRAMS) * (ends - starts)
-    yield np.full(int(again.sum()), 1, dtype=np.int64), per_document(again, per_doc)
+    # pairs of neighbours, within a document: hashed by how far apart the words' hashes are, so a word beside itself is one pair
+    place = np.arange(len(words)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+    second = np.flatnonzero(place > 0)
+    pairs = mix(words[second] - words[second - 1] + _PAIR)
+    yield pairs.astype(np.int64) & (BUCKETS - 1), np.maximum(per_doc - 1, 0)
     sizes = np.diff(offsets)
     for n in GRAMS:
         if len(data) < n:
@@ -79,11 +84,10 @@ class QualityModel:
     bias: float
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        total, count = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, dtype=np.int64)
+        total = np.zeros(len(offsets) - 1)
         for buckets, per_doc in features(data, offsets):
-            total += per_document(self.table[buckets], per_doc)
-            count += per_doc
-        return total / np.maximum(count, 1) + self.bias
+            total += per_document(self.table[buckets], per_doc) / np.maximum(per_doc, 1)
+        return total / KINDS + self.bias
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, width: int = WIDTH, seed: int = 7) -> QualityModel:
@@ -124,23 +128,30 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityM
             data, offsets = buffers(batch.column("text"))
             out = []
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                parts = [x for x, _ in features(data[a:b], np.array([0, b - a]))]
-                buckets, n = np.unique(np.concatenate(parts), return_counts=True)
-                out.append(np.concatenate([buckets.astype("<i4"), n.astype("<i4")]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], names=["doc_id", "label", "bag"])
-
-    # an Arrow table is held once, and the bags are views of it
-    got = sample.select("doc_id", "label", "text").mapInArrow(released(bag), "doc_id long, label int, bag binary").toArrow().sort_by([("doc_id", "ascending"), ("bag", "ascending")])
-    y = np.array(got.column("label"), dtype=np.int64)
-    if min((y == 0).sum(), (y == 1).sum()) < LEAST:
+                shares = np.zeros(BUCKETS, dtype=np.float32)
+                for buckets, n in features(data[a:b], np.array([0, b - a])):
+                    shares += (np.bincount(buckets, minlength=BUCKETS) / (KINDS * max(1, int(n[0])))).astype(np.float32)
+                used = np.flatnonzero(shares)
+                out.append(used.astype("<i4").tobytes() + shares[used].astype("<f4").tobytes())
+            checks = [zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(checks, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "label", "check", "bag"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # views of the batches; rows that repeat an id stand in the order of their texts' checksums
+        got = [row for b in batches for row in zip(*(b.column(k).to_pylist() for k in ("doc_id", "check", "label")), b.column("bag"), strict=True)]
+        got.sort(key=lambda row: row[:2])
+        y = np.array([row[2] for row in got], dtype=np.int64)
+        if min((y == 0).sum(), (y == 1).sum()) >= LEAST:
+            raw = [row[3].as_buffer() for row in got]
+            model = train([(np.frombuffer(x, "<i4", len(x) // 8), np.frombuffer(x, "<f4", offset=len(x) // 2)) for x in raw], y)
+            yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()]), pa.array([model.bias])], names=["table", "bias"])
+
+    bags = sample.select("doc_id", "label", "text").mapInArrow(released(bag), "doc_id long, label int, check long, bag binary")
+    # one task holds ``rows`` bags of at most BUCKETS numbers each
+    made = bags.repartition(1).mapInArrow(released(learn), "table binary, bias double").collect()
+    if not made:
         return QualityModel(np.zeros(BUCKETS, dtype=np.float32), 30.0)
-    # two arrays hold all bags, and go back to the system whole
-    parts = [np.frombuffer(x.as_buffer(), dtype="<i4").reshape(2, -1) for x in got.column("bag")]
-    ends = np.cumsum([p.shape[1] for p in parts])
-    buckets, shares = np.concatenate([p[0] for p in parts]), np.concatenate([(p[1] / max(1, p[1].sum())).astype(np.float32) for p in parts])
-    del parts, got
-    pa.default_memory_pool().release_unused()
-    return train([(buckets[e - n : e], shares[e - n : e]) for e, n in zip(ends, np.diff(ends, prepend=0), strict=True)], y)
+    return QualityModel(np.frombuffer(made[0]["table"], dtype=np.float32), made[0]["bias"])
 
 
 SCHEMA = "doc_id long, score double, predicted int"

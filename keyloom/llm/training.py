@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, two_columns
+from .common import fold, materialize, shuffle_partitions, two_columns
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held_out: int, rows: int, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -27,7 +27,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus:
     # each task keeps two texts of an id before any is moved
     ends = found.groupBy("doc_id", "label").agg(F.min("_pick").alias("_low"), F.max("_pick").alias("_high"))
     sample = ends.select("doc_id", F.explode(F.array_distinct(F.array("_low.text", "_high.text"))).alias("text"), "label")
-    return materialize(docs.sparkSession, sample, f"{name}-sample")
+    # dealt out evenly: the texts are few, but long ones cost much to read
+    return materialize(docs.sparkSession, sample.repartition(shuffle_partitions(docs.sparkSession), "doc_id"), f"{name}-sample")
 
 
 def held_out_flag(modulus: int, held_out: int):
