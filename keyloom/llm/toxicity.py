@@ -2,12 +2,15 @@
 
 From a bounded sample of labelled texts (``SAMPLE_ROWS``, read whole) the words
 and stems that mark toxic texts are learned by their log-likelihood ratio; they
-form a trie, intersected with Levenshtein automata (``levenshtein.py``); a term
-whose misspellings are ordinary words of clean texts allows no edits. Around
-each hit a window of ``WINDOW`` words is searched for signs of quotation (quote
-marks on both sides, a verb of reporting) and of address (second person,
-exclamation). A logistic regression over a text's hits, by kind, gives the score.
-Scoring is a map over whole texts: nothing is shuffled.
+form tries of ``TRIE_TERMS`` terms, each intersected with Levenshtein automata
+(``levenshtein.py``); a term whose misspellings are ordinary words of clean texts
+allows no edits, and so does one of over ``LONG`` letters, which is looked up
+whole. A misspelled hit weighs as much as it is alike to the term. Around each hit a window of
+``WINDOW`` words on each side is searched for signs of quotation (quote marks on
+both sides, a verb of reporting) and of address (second person, exclamation). A
+logistic regression over a text's hits, by kind, gives the score. Scoring is a map
+over whole texts: nothing is shuffled. Stems are the beginnings of ``STEMS``
+letters; longer beginnings only count as whole words.
 
 Defined results: a null or empty text has no hits and scores as a text without
 any; without usable labels the lexicon is empty and every text scores 0 (kept);
@@ -33,22 +36,23 @@ from pyspark.sql import functions as F
 
 from .bytescan import buffers, code_points, released, runs, slices
 from .common import two_columns
-from .levenshtein import LexiconAutomaton, Term, build
+from .levenshtein import Term, build
 from .training import held_out_flag, labelled_sample
 
 MODULUS, HELD_OUT = 5, 0
 SAMPLE_ROWS = 12_000
-#: Terms of the lexicon at most, and what a term must show.
-MAX_TERMS = 96
+#: Terms that one trie takes in; the lexicon has as many tries as it needs.
+TRIE_TERMS = 96
+#: What a term must show.
 LEAST_RATIO = 20.0
 LEAST_PRECISION = 0.6
 STEMS = (4, 5, 6, 7)
+#: Letters from which a term is looked up whole.
+LONG = 32
 WINDOW = 8
 #: Share of the sample whose clean texts may hold misspellings of a term, before they count as ordinary words.
 ORDINARY = 2e-3
 LEAST = 3
-#: Bytes of context read on each side of a hit, before words are counted.
-REACH = 160
 #: Terms with their places that a worker holds before it passes them on.
 PLACES_HELD = 200_000
 
@@ -57,7 +61,7 @@ QUOTE_MARKS = re.compile("[\"“”«»„‟‘]")
 REPORTING = re.compile(r"\b(said|says|called|calls|wrote|writes|quoted?|quoting|word|term|sagte|schrieb|genannt|dit|écrit|appelé|dijo|escribió|llamó)\b")
 ADDRESS = re.compile(r"\b(you|your|you're|ur|du|dich|dein|ihr|tu|toi|vous|ton|tú|usted|eres)\b|!")
 
-N_FEATURES = 7
+N_FEATURES = 5
 
 
 def _words(text: str) -> list[str]:
@@ -85,7 +89,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _terms_of(word: str) -> list[str]:
     """The word, marked ``=``, and its beginnings, marked ``^``."""
-    return ["=" + word, *("^" + word[:n] for n in STEMS if len(word) >= n)] if 3 <= len(word) <= 32 else []
+    return ["=" + word, *("^" + word[:n] for n in STEMS if len(word) >= n)] if len(word) >= 3 else []
 
 
 def learn_lexicon(sample: DataFrame) -> list[Term]:
@@ -119,18 +123,18 @@ def learn_lexicon(sample: DataFrame) -> list[Term]:
         scored.append((-r["ratio"], r["term"][0] == "^", -len(r["term"]), r["term"], weight))
     terms: dict[str, Term] = {}
     stems: set[str] = set()
+    begun: set[str] = set()
     for _, stem, _, name, weight in sorted(scored):
         text = name[1:]
         # what an accepted stem covers, or what only begins an accepted term, adds nothing
-        if any(text[:n] in stems for n in range(1, len(text) + 1)) or any(t.startswith(text) for t in terms):
+        if any(text[:n] in stems for n in STEMS) or text in begun:
             continue
         n = len(text)
-        edits = (1 if n >= 6 else 0) if stem else 2 if n >= 9 else 1 if n >= 5 else 0
+        edits = 0 if n > LONG else (1 if n >= 6 else 0) if stem else 2 if n >= 9 else 1 if n >= 5 else 0
         terms[text] = Term(text, stem, weight, edits)
+        begun.update([text, *(text[:k] for k in STEMS)])
         if stem:
             stems.add(text)
-        if len(terms) == MAX_TERMS:
-            break
     return list(terms.values())
 
 
@@ -168,43 +172,73 @@ def _likelihood_ratio(k1: Column, n1: int, k2: Column, n2: int) -> Column:
     return 2 * (ll(k1, n1, k1 / n1) + ll(k2, n2, k2 / n2) - ll(k1, n1, p) - ll(k2, n2, p))
 
 
+class Lexicon:
+    """Terms as tries of bounded size, and a table of the long ones."""
+
+    def __init__(self, terms: list[Term]):
+        self.terms = terms
+        short = [k for k, t in enumerate(terms) if len(t.text) <= LONG]
+        self.parts = [np.array(short[at : at + TRIE_TERMS], dtype=np.int64) for at in range(0, len(short), TRIE_TERMS)]
+        self.automata = [build([terms[k] for k in part]) for part in self.parts]
+        self.long = {t.text: k for k, t in enumerate(terms) if len(t.text) > LONG}
+
+    def match(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, term, edits) of each word that is within a term's edits: the closest term, of these the first."""
+        found = []
+        for part, automaton in zip(self.parts, self.automata, strict=True):
+            words, terms, edits = automaton.match(points, starts, ends)
+            found.append((words, part[terms], edits))
+        if self.long:
+            rows = [(w, self.long.get("".join(map(chr, points[starts[w] : ends[w]].tolist())), -1), 0) for w in np.flatnonzero(ends - starts > LONG).tolist()]
+            rows = [r for r in rows if r[1] >= 0]
+            found.append(tuple(np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3)
+        words, terms, edits = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), (), ())))
+        order = np.lexsort((terms, edits, words))
+        words, terms, edits = words[order], terms[order], edits[order]
+        first = np.ones(len(words), dtype=bool)
+        first[1:] = words[1:] != words[:-1]
+        return words[first], terms[first], edits[first]
+
+
 @dataclass
 class ToxicityModel:
-    terms: list[Term]
-    automaton: LexiconAutomaton
+    lexicon: Lexicon
     coefficients: np.ndarray
     bias: float
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """One row for each document; texts without hits have zeros."""
+        """One row for each document: weights of plain and of quoted hits, hits that address someone, different terms, density; texts without hits have zeros."""
         out = np.zeros((len(offsets) - 1, N_FEATURES))
-        if not self.terms:
+        if not self.lexicon.terms:
             return out
         points, starts, ends, per_doc, at = words_of(data, offsets)
-        words, terms, edits = self.automaton.match(points, starts, ends)
+        words, terms, edits = self.lexicon.match(points, starts, ends)
         if not len(words):
             return out
-        doc_of = np.searchsorted(np.cumsum(per_doc), words, side="right")
+        upto = np.cumsum(per_doc)
+        doc_of = np.searchsorted(upto, words, side="right")
         sums: dict[int, list] = {}
         for word, term, edit, doc in zip(words.tolist(), terms.tolist(), edits.tolist(), doc_of.tolist(), strict=True):
-            quoted, address = self._context(data, int(offsets[doc]), int(offsets[doc + 1]), int(at[starts[word]]), int(at[ends[word]]))
-            own = sums.setdefault(doc, [0.0] * 5 + [set()])
-            weight = self.terms[term].weight / (1 + edit)
-            own[(2 if edit else 0) + quoted] += weight
-            own[4] += address
-            own[5].add(term)
+            # the window: WINDOW words on each side with what stands between and around them
+            first, last = int(upto[doc] - per_doc[doc]), int(upto[doc]) - 1
+            low = int(at[ends[word - WINDOW - 1]]) if word - WINDOW > first else int(offsets[doc])
+            high = int(at[starts[word + WINDOW + 1]]) if word + WINDOW < last else int(offsets[doc + 1])
+            quoted, address = self._context(data[low : at[starts[word]]], data[at[ends[word]] : high])
+            own = sums.setdefault(doc, [0.0] * 3 + [set()])
+            hit = self.lexicon.terms[term]
+            own[quoted] += hit.weight * (1 - edit / len(hit.text))
+            own[2] += address
+            own[3].add(term)
         for doc, own in sums.items():
-            out[doc, :5] = np.log1p(np.maximum(own[:5], 0))
-            out[doc, 5] = math.log1p(len(own[5]))
-            out[doc, 6] = own[0] / max(1, per_doc[doc]) * 10
+            out[doc, :3] = np.log1p(np.maximum(own[:3], 0))
+            out[doc, 3] = math.log1p(len(own[3]))
+            out[doc, 4] = own[0] / max(1, per_doc[doc]) * 10
         return out
 
     @staticmethod
-    def _context(data: np.ndarray, low: int, high: int, start: int, end: int) -> tuple[int, int]:
-        """(is the hit quoted?, is someone addressed?) from the words around it."""
-        left = data[max(low, start - REACH) : start].tobytes().decode("utf-8", "ignore").split(" ")[-WINDOW:]
-        right = data[end : min(high, end + REACH)].tobytes().decode("utf-8", "ignore").split(" ")[:WINDOW]
-        before, after = " ".join(left), " ".join(right)
+    def _context(left: np.ndarray, right: np.ndarray) -> tuple[int, int]:
+        """(is the hit quoted?, is someone addressed?) from what stands around it."""
+        before, after = left.tobytes().decode("utf-8", "ignore"), right.tobytes().decode("utf-8", "ignore")
         quoted = bool(QUOTE_MARKS.search(before) and QUOTE_MARKS.search(after)) or bool(REPORTING.search(before) and QUOTE_MARKS.search(after))
         return int(quoted), int(bool(ADDRESS.search(before) or ADDRESS.search(after)))
 
@@ -214,8 +248,8 @@ class ToxicityModel:
         return np.concatenate([np.zeros(0), *rows]) + self.bias
 
 
-def _regress(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression; only the sign that evidence of toxicity should have is kept for exact hits."""
+def _regress(x: np.ndarray, y: np.ndarray, rounds: int = 3000, rate: float = 0.5, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Logistic regression; plain hits never count against toxicity."""
     scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
     z, w, b = x / scale, np.zeros(x.shape[1]), math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
     g2, h2 = np.full(x.shape[1], 1e-6), 1e-6
@@ -226,23 +260,23 @@ def _regress(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.5,
         h2 += gb * gb
         w -= rate * grad / np.sqrt(g2)
         b -= rate * gb / math.sqrt(h2)
-        w[[0, 2]] = np.maximum(w[[0, 2]], 0)
+        w[0] = max(w[0], 0.0)
     return w / scale, float(b)
 
 
 def trusted_edits(sample: DataFrame, terms: list[Term]) -> list[Term]:
     """The terms, those without edits whose misspellings are ordinary words of clean texts."""
-    sent = sample.sparkSession.sparkContext.broadcast(build(terms))
+    sent = sample.sparkSession.sparkContext.broadcast(Lexicon(terms))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = sent.value
+        lexicon = sent.value
         for batch in batches:
             data, offsets = buffers(pc.utf8_lower(batch.column("text")))
             clean = np.array(batch.column("label")) == 0
             found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for first, _, part, cuts in slices(data, offsets):
                 points, starts, ends, per_doc, _ = words_of(part, cuts)
-                words, hits, edits = automaton.match(points, starts, ends)
+                words, hits, edits = lexicon.match(points, starts, ends)
                 doc = first + np.searchsorted(np.cumsum(per_doc), words, side="right")
                 some = (edits > 0) & clean[doc]
                 found.append((hits[some], doc[some]))
@@ -262,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxicity
     terms = learn_lexicon(sample)
     if terms:
         terms = trusted_edits(sample, terms)
-    model = ToxicityModel(terms, build(terms), np.zeros(N_FEATURES), -30.0)
+    model = ToxicityModel(Lexicon(terms), np.zeros(N_FEATURES), -30.0)
     if not terms:
         return model
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -276,10 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxicity
     got = sample.select("doc_id", "label", "text").mapInArrow(released(hits), "doc_id long, label int, x array<double>").collect()
     got.sort(key=lambda r: (r["doc_id"], r["x"]))
     x, y = np.array([r["x"] for r in got]), np.array([r["label"] for r in got], dtype=float)
-    # each toxic text once more as if its terms were misspelled by one edit: labelled texts may hold none such
-    spelled = x[(y == 1) & (x[:, 0] > 0)].copy()
-    spelled[:, 2], spelled[:, [0, 6]] = np.log1p(np.expm1(spelled[:, 0]) / 2), 0
-    model.coefficients, model.bias = _regress(np.concatenate([x, spelled]), np.concatenate([y, np.ones(len(spelled))]))
+    model.coefficients, model.bias = _regress(x, y)
     return model
 
 

@@ -75,7 +75,7 @@ def test_toxicity_learns_and_finds_misspellings(spark):
     docs = spark.createDataFrame([r[:2] for r in rows] + [(1000, "ta re zwoppel so"), (1001, "you KRAVITS go"), (1002, "ta re mi"), (1003, None)], "doc_id long, text string")
     labels = labels_frame(spark, [(i, 1, t) for i, _, t in rows])
     model = toxicity.fit(docs, labels)
-    assert {t.text for t in model.terms} >= {"zwopple", "kravitz", "snorgbat"}
+    assert {t.text for t in model.lexicon.terms} >= {"zwopple", "kravitz", "snorgbat"}
     got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
     assert all(got[i]["held_out"] for i, _, _ in held)
@@ -94,12 +94,12 @@ def test_copies_of_a_long_toxic_text_leave_room_for_terms(spark):
     rows += [(1000 + i, long_text, 1) for i in range(2 * n_toxic)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     model = toxicity.fit(docs, labels_frame(spark, [(i, 1, t) for i, _, t in rows]))
-    assert {t.text for t in model.terms} == {"zwopple", "kravitz", "snorgbat"}
+    assert {t.text for t in model.lexicon.terms} == {"zwopple", "kravitz", "snorgbat"}
 
 
 def test_words_end_at_punctuation_beyond_ascii():
     terms = [Term("idiota", False, 1.0, 1), Term("zwopp", True, 1.0, 0), Term("größenwahn", False, 1.0, 0)]
-    model = toxicity.ToxicityModel(terms, build(terms), np.ones(toxicity.N_FEATURES), 0.0)
+    model = toxicity.ToxicityModel(toxicity.Lexicon(terms), np.ones(toxicity.N_FEATURES), 0.0)
     found = ["¡idiota!", "«idiota»", "“idiota”", "—idiota…", "x\xa0idiota\xa0y", "idiöta", "idióta", "idi\u0301ota", "“zwopple”", "„Größenwahn“", "漢字、idiota。", "😀idiota"]
     missed = ["", "ïdiöta", "“zwapple”", "é", "größenwähn", "idi漢字ta"]
     for text in found + missed:
@@ -117,12 +117,33 @@ def test_code_points():
 
 
 def test_quotation_and_address():
-    context = lambda text, word: toxicity.ToxicityModel._context(np.frombuffer(text.encode(), np.uint8), 0, len(text.encode()), text.encode().index(word.encode()), text.encode().index(word.encode()) + len(word))
+    context = lambda text, word: toxicity.ToxicityModel._context(*(np.frombuffer(x.encode(), np.uint8) for x in text.split(word)))
     assert context('they said "zwopple here" again', "zwopple") == (1, 0)
     assert context("you are a zwopple!", "zwopple") == (0, 1)
     assert context("a plain zwopple of sorts", "zwopple") == (0, 0)
 
 
+def test_windows_count_words_whatever_parts_them():
+    model = toxicity.ToxicityModel(toxicity.Lexicon([Term("zwopple", False, 1.0, 0)]), np.ones(toxicity.N_FEATURES), 0.0)
+    features = lambda text: model.features(*bytescan.buffers(pa.array([text])))[0]
+    filler = ["w" * 90] * (toxicity.WINDOW - 1)
+    for gap in (" ", "\t", "\n", " , "):
+        assert features(gap.join(["you", *filler, "zwopple"]))[2] == features(gap.join(["zwopple", *filler, "you"]))[2] > 0
+        assert features(gap.join(["you", "w", *filler, "zwopple"]))[2] == features(gap.join(["zwopple", *filler, "w", "you"]))[2] == 0
+
+
+def test_lexicon_takes_in_any_number_of_terms_and_long_ones():
+    rng = random.Random(2)
+    made = {"".join(rng.choices("abcdefgh", k=rng.randint(5, 12))) for _ in range(3 * toxicity.TRIE_TERMS)} | {"x" * 5000, "y" * 33}
+    terms = [Term(t, False, 1.0, int(len(t) < 33)) for t in sorted(made)]
+    words = [t.text for t in terms] + ["".join(rng.choices("abcdefgh", k=8)) for _ in range(300)] + ["x" * 4999, "y" * 34, "y" * 32]
+    points, starts, ends, _, _ = toxicity.words_of(*bytescan.buffers(pa.array([" ".join(words)])))
+    got = {int(w): (int(e), int(t)) for w, t, e in zip(*toxicity.Lexicon(terms).match(points, starts, ends), strict=True)}
+    for k, word in enumerate(words):
+        near = ((edit_distance(word, t.text), i) for i, t in enumerate(terms) if abs(len(t.text) - len(word)) <= t.edits)
+        assert got.get(k) == min((x for x in near if x[0] <= terms[x[1]].edits), default=None), word[:20]
+
+
 # -- quality ---------------------------------------------------------------------
 
 
@@ -168,6 +189,16 @@ def test_features_stay_inside_documents():
         assert sorted(np.concatenate([np.zeros(0, np.int64), *alone])) == sorted(got), text
 
 
+def test_quality_of_a_text_doesnt_depend_on_its_neighbours(spark):
+    rows = quality_rows(200)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = quality.fit(docs, labels_frame(spark, [(i, q, 0) for i, _, q in rows]))
+    together = model.logits(*bytescan.buffers(pa.array([t for _, t, _ in rows])))
+    assert [model.logits(*bytescan.buffers(pa.array([t])))[0] for _, t, _ in rows] == together.tolist()
+    again = quality.fit(docs.repartition(7), labels_frame(spark, [(i, q, 0) for i, _, q in rows]))
+    assert again.bias == model.bias and (again.table == model.table).all()
+
+
 @pytest.mark.parametrize("op", [toxicity, quality])
 def test_classifiers_on_edges(spark, op):
     none, some = labels_frame(spark), labels_frame(spark, [(i, i % 2, i % 2) for i in range(1, 15)] + [(None, 1, 1), (4, None, None), (5, 9, 9), (6, 0, 0)])
