@@ -97,7 +97,7 @@ def merkle_sql() -> str:
 
 
 def packing_sql(n_buckets: int = packing.N_BUCKETS, budget: int = packing.TOKEN_BUDGET) -> str:
-    """The dynamic programming as one table for each number of buckets; for lengths that are counted exactly."""
+    """The dynamic programming as one table for each number of buckets."""
     layers = ["l1 AS (SELECT i, total * len AS spent, [len] AS bounds FROM cumulated)"]
     for k in range(2, n_buckets + 1):
         layers.append(f"""l{k} AS (
