@@ -4,13 +4,15 @@ The texts are packed once into blocks: for each block the distinct words' 64-bit
 hashes, the words of each text as block-local numbers, and the training counts.
 Everything after works on blocks, and every count covers all training texts.
 
-1. **Exchange clustering.** Words that make up at least ``FREQUENT`` of the
-   training tokens (so ``1 / FREQUENT`` words at most) are clustered by the
-   exchange algorithm on the bigram counts among them: each word in turn moves to
-   the class that raises the class-bigram likelihood most.
-2. **All other words** make one exchange step each: the classes before and after
-   a word, as far as its neighbours have one, are counted over all blocks, and the
-   word joins the class whose gain by these counts is largest.
+1. **First classes.** Words that make up at least ``FREQUENT`` of the training
+   tokens (so ``1 / FREQUENT`` words at most) are clustered by the exchange
+   algorithm on the bigram counts among them: each word in turn moves to the class
+   that raises the class-bigram likelihood most. Every other word joins the class
+   whose gain is largest by the classes that stand before and after it.
+2. **Exchange of the whole vocabulary**, ``ROUNDS`` times, distributed: every word's
+   neighbours are counted by their classes over all blocks, and each word, taken
+   out of its class, moves to the class that raises the likelihood most, by the
+   class bigrams of the round before, which hold still while all words move.
 3. **Counts** of words, classes and class transitions over all training texts.
 4. **Scores.** ``P(word | before) = P(class | class before) * P(word | class)``.
    Transitions are smoothed towards the class frequencies; a class gives its
@@ -18,7 +20,9 @@ Everything after works on blocks, and every count covers all training texts.
    base, so the probabilities of the V known types and the unknown one add up to
    1. An unknown word leaves the class before it in place.
 
-Hot words cost a row for each block at most. Only tables of a bounded size reach
+All counts are whole numbers summed before anything is decided, so classes and
+scores don't depend on how the texts are dealt out. Hot words cost a row for each
+block at most. Only tables of a bounded size reach
 the driver: the frequent words, their bigram counts, and class counts.
 
 Defined results: a null or empty text has one token, the end; rows without an id
@@ -40,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import IS_SPACE, LOWER, buffers, per_document, runs, slices, span_hashes
-from .common import materialize, two_columns
+from .common import mark, materialize, release, two_columns
 
 MODULUS, HELD_OUT = 10, 0
 BLOCK_BYTES = 8 << 20
@@ -48,30 +52,37 @@ BLOCK_BYTES = 8 << 20
 FREQUENT = 2.5e-4
 CLASSES = 32
 PASSES = 4
+#: Exchange steps of the whole vocabulary.
+ROUNDS = 1
 #: Counts by which transitions are drawn towards the class frequencies.
 TRANSITION_PRIOR = 20.0
 #: Classes beyond those of the exchange: words without context, and the end.
 LOOSE, END = CLASSES, CLASSES + 1
 N_CLASSES = CLASSES + 2
-#: What is counted beside a word: a class before it, a class after it, its own class where it is known.
-CODES = 3 * N_CLASSES
+#: What is counted of a word: a class before it, a class after it, its own class where it has one, itself beside itself.
+CODES = 3 * N_CLASSES + 1
+BESIDE_ITSELF = CODES - 1
 UNKNOWN = 255
 #: Words of all blocks that a bucket of hashes takes in, about; and the bytes of a hash that are kept beside its bucket.
 BUCKET_WORDS = 1_000_000
 LOW_BYTES = 7
 
-BLOCK_SCHEMA = "block bigint, doc_ids array<bigint>, n_words array<int>, words binary, vocabulary binary, counts binary, train array<boolean>, n_types bigint"
+BLOCK_SCHEMA = "block bigint, doc_ids array<bigint>, n_words array<int>, words binary, vocabulary binary, counts binary, train array<boolean>, n_types bigint, n_train bigint"
+
+
+#: Bytes below which an array is stored as it is.
+_SMALL = 256
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return len(values).to_bytes(8, "little") + pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+    raw = values.tobytes()
+    return b"\0" + raw if len(raw) < _SMALL else b"\1" + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes, kind: str) -> np.ndarray:
-    n, kind = int.from_bytes(data[:8], "little"), np.dtype(kind)
-    if not n:
-        return np.zeros(0, dtype=kind)
-    return np.frombuffer(pa.decompress(data[8:], decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True), dtype=kind)
+    if data[:1] == b"\0":
+        return np.frombuffer(data, dtype=kind, offset=1)
+    return np.frombuffer(pa.decompress(data[9:], decompressed_size=int.from_bytes(data[1:9], "little"), codec="zstd", asbytes=True), dtype=kind)
 
 
 def learned_from(doc_id: int | None) -> bool:
@@ -98,9 +109,9 @@ def block_table(docs: DataFrame) -> DataFrame:
                 ids = batch.column(0).slice(first, last - first)
                 train = np.array([learned_from(i) for i in ids.to_pylist()], dtype=bool)
                 counts = np.bincount(words[np.repeat(train, per_doc)], minlength=len(vocabulary)).astype(np.int32)
-                columns = [[next(number)], [ids.to_pylist()], [per_doc.tolist()], [_pack(words)], [_pack(vocabulary)], [_pack(counts)], [train.tolist()], [len(vocabulary)]]
-                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.bool_()), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "doc_ids", "n_words", "words", "vocabulary", "counts", "train", "n_types"])
+                columns = [[next(number)], [ids.to_pylist()], [per_doc.tolist()], [_pack(words)], [_pack(vocabulary)], [_pack(counts)], [train.tolist()], [len(vocabulary)], [int(counts.sum())]]
+                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.bool_()), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "doc_ids", "n_words", "words", "vocabulary", "counts", "train", "n_types", "n_train"])
 
     return docs.mapInArrow(run, BLOCK_SCHEMA)
 
@@ -136,25 +147,35 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
             yield Block(batch.slice(row, 1).to_pylist()[0])
 
 
-def frequent_words(blocks: DataFrame) -> np.ndarray:
-    """Hashes, ascending, of the words that the exchange clusters; ``1 / FREQUENT`` at most.
+def _dealt(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first, last) of each stretch of the ascending hashes that have the same leading bits."""
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    return zip(bucket[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(hashes)], strict=True)
 
-    A word with a share of FREQUENT or more of all training tokens has it in some
-    block too, so blocks only report words with half that share of their own;
-    the sums are lower bounds, and the total is exact.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def frequent_words(blocks: DataFrame, bits: int, n_tokens: int) -> np.ndarray:
+    """Hashes, ascending, of the words that have FREQUENT of the training tokens; ``1 / FREQUENT`` at most."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _rows(batches):
-            total = int(block.counts.sum())
-            some = block.counts >= max(1.0, FREQUENT / 2 * total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(block.vocabulary[some], 0)), pa.array(np.append(block.counts[some], 0)), pa.array(np.append(np.zeros(int(some.sum()), np.int64), total))], names=["word", "n", "total"])
-
-    # one row a block holds the block's total
-    found = blocks.mapInArrow(run, "word long, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    found = materialize(blocks.sparkSession, found, "frequent-words")
-    total = found.agg(F.sum("total")).first()[0] or 0
-    rows = found.where((F.col("n") > 0) & (F.col("n") >= FREQUENT * total)).select("word").collect()
+            some = np.flatnonzero(block.counts)
+            if not len(some):
+                continue
+            some = some[np.argsort(block.vocabulary.view(np.uint64)[some])]
+            hashes, counts = block.vocabulary.view(np.uint64)[some], block.counts[some].astype(np.int32)
+            rows = [(bucket, _low_bytes(hashes[a:b]), _pack(counts[a:b])) for bucket, a, b in _dealt(hashes, bits)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "words", "counts"])
+
+    def often(table: pa.Table) -> pa.Table:
+        words, where = np.unique(np.concatenate([_from_low_bytes(x) for x in table.column("words").to_pylist()]), return_inverse=True)
+        n = np.bincount(where, weights=np.concatenate([_unpack(x, "int32") for x in table.column("counts").to_pylist()])).astype(np.int64)
+        top = np.uint64(table.column("bucket")[0].as_py()) << np.uint64(64 - bits)
+        low = np.uint64((1 << (64 - bits)) - 1)
+        words = (words & low | top)[n >= FREQUENT * n_tokens]
+        return pa.table({"word": pa.array(words.view(np.int64), pa.int64())})
+
+    rows = blocks.mapInArrow(deal, "bucket long, words binary, counts binary").groupBy("bucket").applyInArrow(often, "word long").collect()
     return np.array(sorted(r[0] for r in rows), dtype=np.int64)
 
 
@@ -262,85 +283,165 @@ def _from_low_bytes(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def best_classes(keys: np.ndarray, amounts: np.ndarray, size: int, table: np.ndarray) -> np.ndarray:
+def best_classes(keys: np.ndarray, amounts: np.ndarray, size: int, table: np.ndarray, moving: bool) -> np.ndarray:
     """The class of each word by the exchange gain against the classes' bigrams ``table``.
 
-    ``keys`` ascend: word * CODES + code, where codes are a class before the word, a class after it, or its known class.
+    ``keys`` ascend: word * CODES + code. A word with a class keeps it, unless
+    all are ``moving``: then ``table`` holds its own counts, which are taken out.
     """
     out = np.full(size, LOOSE, dtype=np.uint8)
-    f = lambda x: x * np.log(np.maximum(x, 1))
-    # how often each class stands beside what a code stands for
-    beside = np.concatenate([table[:, :CLASSES], table[:CLASSES].T])
-    of_beside, rows, cols, d = f(beside), table.sum(axis=1)[:CLASSES], table.sum(axis=0)[:CLASSES], np.diag(table)[:CLASSES]
-    # a class without words has no contexts to be like
-    empty = rows + cols == 0
     step = 1 << 12
     for first in range(0, size, step):
         a, b = np.searchsorted(keys, [first * CODES, (first + step) * CODES])
         word, code = np.divmod(keys[a:b] - first * CODES, CODES)
-        known = code >= 2 * N_CLASSES
-        out[first + word[known]] = code[known] - 2 * N_CLASSES
-        word, code, n = word[~known], code[~known], amounts[a:b][~known]
-        if not len(word) or empty.all():
-            continue
-        own, starts, word = np.unique(word, return_index=True, return_inverse=True)
-        gain = np.add.reduceat(f(beside[code] + n[:, None]) - of_beside[code], starts, axis=0)
-        around = np.zeros((len(own), 2 * N_CLASSES))
-        around[word, code] = n
-        l, r = around[:, :N_CLASSES], around[:, N_CLASSES:]
-        n_l, n_r, l, r = l.sum(axis=1, keepdims=True), r.sum(axis=1, keepdims=True), l[:, :CLASSES], r[:, :CLASSES]
-        gain += f(d + r + l) - f(d + r) - f(d + l) + f(d)
-        gain -= f(rows + l + n_r) - f(rows + l) + f(cols + r + n_l) - f(cols + r)
-        gain[:, empty] = -np.inf
-        out[first + own] = gain.argmax(axis=1)
+        n = amounts[a:b].astype(np.float64)
+        own = (code >= 2 * N_CLASSES) & (code < BESIDE_ITSELF)
+        out[first + word[own]] = code[own] - 2 * N_CLASSES
+        chosen = _moves(word, code, n, out[first : first + step].astype(np.int64), own, table, moving)
+        out[first : first + step] = chosen
     return out
 
 
-def word_contexts(blocks: DataFrame, bits: int, frequent: np.ndarray, classes: np.ndarray) -> DataFrame:
-    """(bucket, block, words, counts, sizes, codes, amounts): each block's words with the classes beside them, dealt by the words' hashes.
+def _moves(word: np.ndarray, code: np.ndarray, n: np.ndarray, now: np.ndarray, own: np.ndarray, table: np.ndarray, moving: bool) -> np.ndarray:
+    """The classes of some words after a step; ``now``: their classes before it."""
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    w = len(now)
+    has = np.zeros(w, dtype=bool)
+    has[word[own]] = True
+    around, itself = np.zeros((w, 2 * N_CLASSES)), np.zeros(w)
+    near = code < 2 * N_CLASSES
+    around[word[near], code[near]] = n[near]
+    itself[word[code == BESIDE_ITSELF]] = n[code == BESIDE_ITSELF]
+    at = np.flatnonzero(near & (moving | ~has[word]))
+    free = np.unique(word[at])
+    if not len(free):
+        return now
+    word, code, n = word[at], code[at], n[at]
+    l, r = around[:, :N_CLASSES], around[:, N_CLASSES:]
+    before, other = code < N_CLASSES, code % N_CLASSES
+    # how often each class stands beside what a code stands for, without the word itself
+    beside = np.where(before[:, None], table[other], table.T[other])
+    # a class without words has no contexts to be like
+    empty = (table.sum(axis=1) + table.sum(axis=0))[:CLASSES] == 0
+    mine = np.zeros((w, N_CLASSES))
+    if moving:
+        mine[np.arange(w), now] = 1
+        home = other == now[word]
+        beside -= mine[word] * np.where(home, l[word, other] + r[word, other] + itself[word], n)[:, None]
+        away = home[:, None] * (1 - mine[word]) * np.where(before[:, None], r[word], l[word])
+        beside -= away
+    starts = np.searchsorted(word, free)
+    gain = np.add.reduceat((f(beside + n[:, None]) - f(beside))[:, :CLASSES], starts, axis=0)
+    l, r, itself, mine = l[free], r[free], itself[free][:, None], mine[free]
+    n_l, n_r = l.sum(axis=1, keepdims=True) + itself, r.sum(axis=1, keepdims=True) + itself
+    d = np.diag(table) - mine * (l + r + itself)
+    rows, cols = table.sum(axis=1) - mine * n_r, table.sum(axis=0) - mine * n_l
+    if not moving:
+        # the word's own counts are not yet in the rows and columns of its neighbours
+        rows, cols = rows + l, cols + r
+    l, r, d, rows, cols = (x[:, :CLASSES] for x in (l, r, d, rows, cols))
+    gain += f(d + r + l + itself) - f(d + r) - f(d + l) + f(d)
+    gain -= f(rows + n_r) - f(rows) + f(cols + n_l) - f(cols)
+    gain[:, empty] = -np.inf
+    if empty.all():
+        return now
+    best = gain.argmax(axis=1)
+    here = np.minimum(now[free], CLASSES - 1)
+    stays = moving & (now[free] < CLASSES) & (gain[np.arange(len(free)), best] <= gain[np.arange(len(free)), here] + 1e-9)
+    out = now.copy()
+    out[free] = np.where(stays, now[free], best)
+    return out
+
 
-    A word has ``sizes`` codes, each with an amount; see ``best_classes``.
+CONTEXT_SCHEMA = "bucket long, block long, words binary, counts binary, sizes binary, codes binary, amounts binary"
+#: The bucket of the rows that hold a block's counts of class bigrams.
+BIGRAMS = -1
+
+
+def _contexts(block: Block, known: np.ndarray, bits: int, every: bool) -> pa.RecordBatch:
+    """A block's words with the classes beside them, dealt by the words' hashes, and its class bigrams if all words have classes.
+
+    ``known``: the class of each word of the block's vocabulary, or -1. A word has
+    ``sizes`` codes, each with an amount; see ``best_classes``.
     """
+    size = len(block.vocabulary)
+    rows: list[tuple] = []
+    names, kinds = [c.split()[0] for c in CONTEXT_SCHEMA.split(", ")], [pa.int64(), pa.int64(), *[pa.binary()] * 5]
+    if size:
+        hashes = block.vocabulary.view(np.uint64)
+        order = np.argsort(hashes)
+        rank = np.empty(size, dtype=np.int64)
+        rank[order] = np.arange(size)
+        seq, inside = block.sequence(known, LOOSE, END)
+        # words that keep their class need no contexts
+        numbers, _ = block.sequence(rank if every else np.where(known >= 0, -1, rank), -1, -1)
+        place = np.flatnonzero(inside & (numbers >= 0))
+        keys = [rank[known >= 0] * CODES + 2 * N_CLASSES + known[known >= 0]]
+        for k, step in enumerate((-1, 1)):
+            near, same = seq[place + step], numbers[place + step] == numbers[place]
+            some = ~same if every else near >= 0
+            keys.append(numbers[place[some]] * CODES + k * N_CLASSES + near[some])
+            if every and k:
+                keys.append(numbers[place[same]] * CODES + BESIDE_ITSELF)
+        keys, amounts = np.unique(np.concatenate(keys), return_counts=True)
+        word, codes = np.divmod(keys, CODES)
+        sizes = np.bincount(word, minlength=size)
+        hashes, counts = hashes[order], block.counts[order].astype(np.int32)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        sizes, codes, amounts = sizes.astype(np.uint8), codes.astype(np.uint8), amounts.astype(np.int32)
+        rows = [
+            (bucket, block.name, _low_bytes(hashes[a:b]), *map(_pack, (counts[a:b], sizes[a:b], codes[upto[a] : upto[b]], amounts[upto[a] : upto[b]])))
+            for bucket, a, b in _dealt(hashes, bits)
+        ]
+        if every:
+            follows = seq[:-1] != END
+            pairs = np.bincount(seq[:-1][follows] * N_CLASSES + seq[1:][follows], minlength=N_CLASSES * N_CLASSES)
+            rows.append((BIGRAMS, block.name, b"", _pack(pairs.astype(np.int64)), b"", b"", b""))
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def first_contexts(blocks: DataFrame, bits: int, frequent: np.ndarray, classes: np.ndarray) -> DataFrame:
+    """Contexts of all words but the frequent ones, by neighbours that are frequent."""
     sent = blocks.sparkSession.sparkContext.broadcast((frequent, classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, classes = sent.value
         for block in _rows(batches):
-            size = len(block.vocabulary)
-            if not size:
-                continue
             at = _position(block.vocabulary, frequent)
-            known = np.where(at >= 0, classes[at] if len(classes) else -1, -1)
-            hashes = block.vocabulary.view(np.uint64)
-            order = np.argsort(hashes)
-            rank = np.empty(size, dtype=np.int64)
-            rank[order] = np.arange(size)
-            seq, inside = block.sequence(known, LOOSE, END)
-            numbers, _ = block.sequence(np.where(known >= 0, -1, rank), -1, -1)
-            place = np.flatnonzero(inside & (numbers >= 0))
-            keys = [rank[known >= 0] * CODES + 2 * N_CLASSES + known[known >= 0]]
-            for k, near in enumerate((seq[place - 1], seq[place + 1])):
-                keys.append(numbers[place][near >= 0] * CODES + k * N_CLASSES + near[near >= 0])
-            keys, amounts = np.unique(np.concatenate(keys), return_counts=True)
-            word, codes = np.divmod(keys, CODES)
-            sizes = np.bincount(word, minlength=size)
-            hashes, counts = hashes[order], block.counts[order].astype(np.int32)
-            bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            upto = np.concatenate([[0], np.cumsum(sizes)])
-            sizes, codes, amounts = sizes.astype(np.uint8), codes.astype(np.uint8), amounts.astype(np.int32)
-            rows = [
-                (int(bucket[a]), block.name, _low_bytes(hashes[a:b]), *map(_pack, (counts[a:b], sizes[a:b], codes[upto[a] : upto[b]], amounts[upto[a] : upto[b]])))
-                for a, b in zip(cuts, [*cuts[1:], size], strict=True)
-            ]
-            columns = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "block", "words", "counts", "sizes", "codes", "amounts"])
+            yield _contexts(block, np.where(at >= 0, classes[at] if len(classes) else -1, -1), bits, every=False)
+
+    return blocks.mapInArrow(run, CONTEXT_SCHEMA)
+
+
+def all_contexts(blocks: DataFrame, words: DataFrame, bits: int) -> DataFrame:
+    """Contexts of all words, by all their neighbours, and the class bigrams of each block."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = [_contexts(block, _word_columns(block, right)["class"].astype(np.int64), bits, every=True) for block in map(Block, left.to_pylist())]
+        return pa.Table.from_batches(parts)
+
+    return blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, CONTEXT_SCHEMA)
+
 
-    return blocks.mapInArrow(run, "bucket long, block long, words binary, counts binary, sizes binary, codes binary, amounts binary")
+def summed_bigrams(contexts: DataFrame) -> np.ndarray:
+    """The class bigrams of all blocks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(N_CLASSES * N_CLASSES, dtype=np.int64)
+        for batch in batches:
+            for packed in batch.column("counts").to_pylist():
+                total += _unpack(packed, "int64")
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["at", "n"])
+
+    out = np.zeros(N_CLASSES * N_CLASSES)
+    for r in contexts.where(F.col("bucket") == BIGRAMS).select("counts").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out.reshape(N_CLASSES, N_CLASSES)
 
-def word_table(contexts: DataFrame, bigrams: np.ndarray) -> DataFrame:
+
+def word_table(contexts: DataFrame, bigrams: np.ndarray, moving: bool = False) -> DataFrame:
     """(block, bucket, c, class, first): for a block's words of a bucket, by hash, the training counts, classes, and whether no earlier block has them.
 
     A word comes once a block, so a bucket's rows follow the number of blocks, not a word's occurrences.
@@ -355,7 +456,7 @@ def word_table(contexts: DataFrame, bigrams: np.ndarray) -> DataFrame:
         c = np.bincount(word, weights=n, minlength=len(types)).astype(np.int64)
         # the same word and code of all blocks are one
         keys, place = np.unique(np.repeat(word, codes_each) * CODES + codes, return_inverse=True)
-        of = best_classes(keys, np.bincount(place, weights=amounts, minlength=len(keys)), len(types), bigrams)
+        of = best_classes(keys, np.bincount(place, weights=amounts, minlength=len(keys)), len(types), bigrams, moving)
         first = np.zeros(len(word), dtype=np.uint8)
         first[first_at] = 1
         ends = np.cumsum(sizes)
@@ -363,7 +464,19 @@ def word_table(contexts: DataFrame, bigrams: np.ndarray) -> DataFrame:
         made = {name: pa.array([p[i] for p in parts], pa.binary()) for i, name in enumerate(("c", "class", "first"))}
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket")} | made)
 
-    return contexts.groupBy("bucket").applyInArrow(run, "block long, bucket long, c binary, class binary, first binary")
+    return contexts.where(F.col("bucket") != BIGRAMS).groupBy("bucket").applyInArrow(run, "block long, bucket long, c binary, class binary, first binary")
+
+
+def _word_columns(block: Block, table: pa.Table) -> dict[str, np.ndarray]:
+    """The columns of a block's rows of ``word_table``, in the order of the block's vocabulary."""
+    # the buckets in order have the block's words by hash
+    table = table.sort_by("bucket")
+    order = np.argsort(block.vocabulary.view(np.uint64))
+    out = {}
+    for name, kind in (("c", "int64"), ("class", "uint8"), ("first", "uint8")):
+        out[name] = np.zeros(len(order), dtype=kind)
+        out[name][order] = np.concatenate([np.zeros(0, kind), *(_unpack(x, kind) for x in table.column(name).to_pylist())])
+    return out
 
 
 SEQUENCE_SCHEMA = "kind int, doc_id bigint, n_words bigint, n_known bigint, base double, emission double, train boolean, data binary"
@@ -378,12 +491,8 @@ def class_sequences(blocks: DataFrame, words: DataFrame) -> DataFrame:
         out: list[list] = [[] for _ in names]
         for row in left.to_pylist():
             block = Block(row)
-            # the buckets in order have the block's words by hash
-            right = right.sort_by("bucket")
-            order = np.argsort(block.vocabulary.view(np.uint64))
-            c, of, first = (np.zeros(len(order), dtype=k) for k in (np.float64, np.int64, bool))
-            for name, kind, out_array in (("c", "int64", c), ("class", "uint8", of), ("first", "uint8", first)):
-                out_array[order] = np.concatenate([np.zeros(0, kind), *(_unpack(x, kind) for x in right.column(name).to_pylist())])
+            own = _word_columns(block, right)
+            c, of, first = own["c"].astype(np.float64), own["class"].astype(np.int64), own["first"].astype(bool)
             # counts of the words that this block is the first to have: types, once-seen types and tokens by class
             own = first & (c > 0)
             stats = np.concatenate([np.bincount(of[own], minlength=N_CLASSES), np.bincount(of[own & (c == 1)], minlength=N_CLASSES), np.bincount(of[own], weights=c[own], minlength=N_CLASSES)])
@@ -467,15 +576,21 @@ class ClassModel:
 
 def train(spark: SparkSession, docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     """The model, and the class sequences of all texts."""
+    since = mark(spark)
     blocks = materialize(spark, block_table(docs), "blocks")
-    frequent = frequent_words(blocks)
+    n_types, n_tokens = blocks.agg(F.sum("n_types"), F.sum("n_train")).first()
+    bits = max(8, math.ceil((n_types or 0) / BUCKET_WORDS).bit_length())
+    frequent = frequent_words(blocks, bits, n_tokens or 0)
     bigrams = bigram_counts(blocks, frequent)
     classes, _ = exchange(bigrams)
-    pairs = blocks.agg(F.sum("n_types")).first()[0] or 0
-    bits = max(8, math.ceil(pairs / BUCKET_WORDS).bit_length())
-    contexts = word_contexts(blocks, bits, frequent, classes)
-    sequences = materialize(spark, class_sequences(blocks, word_table(contexts, _class_bigrams(bigrams, classes))), "class-sequences")
-    return ClassModel(*transition_counts(sequences)), sequences
+    words = word_table(first_contexts(blocks, bits, frequent, classes), _class_bigrams(bigrams, classes))
+    for _ in range(ROUNDS):
+        contexts = materialize(spark, all_contexts(blocks, words, bits), "contexts")
+        words = word_table(contexts, summed_bigrams(contexts), moving=True)
+    sequences = materialize(spark, class_sequences(blocks, words), "class-sequences")
+    model = ClassModel(*transition_counts(sequences))
+    release(spark, since, keep=[sequences])
+    return model, sequences
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
