@@ -63,14 +63,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merkle_sql() -> str:
-    """Trees, roots and likenesses; the passages' pattern without possessive repeats, which change no match."""
+    """Trees, roots, likenesses and edits; the patterns without possessive repeats, which change no match."""
     word, gap = merkle._WORD, merkle._GAP
     passage = rf"(?:{word}+{gap}+){{{merkle.PASSAGE_LEAST - 1},{merkle.PASSAGE_WORDS - 1}}}?{word}*[.!?](?:{gap}+|\z)|(?:{word}+(?:{gap}+|\z)){{1,{merkle.PASSAGE_WORDS}}}|{gap}+"
+    section = merkle._SECTION.replace("*+", "*")
     return rf"""
         WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         pairs AS (
-            SELECT doc_id, text, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS k, length(text) AS n_chars,
-                coalesce(lead(text) OVER (ORDER BY doc_id NULLS FIRST, text), first_value(text) OVER (ORDER BY doc_id NULLS FIRST, text)) AS after FROM texts),
+            SELECT doc_id, text, row_number() OVER o AS k, length(text) AS n_chars, coalesce(lead(text) OVER o, first_value(text) OVER o) AS after
+            FROM texts WINDOW o AS (ORDER BY doc_id NULLS FIRST, md5(text), text)),
         every AS (
             SELECT k, 0 AS side, text FROM pairs
             UNION ALL SELECT k, 1, left(text, n_chars - n_chars // 2) || left(after, n_chars // 2) FROM pairs
@@ -78,21 +79,27 @@ def merkle_sql() -> str:
         trees AS (
             SELECT k, side, sha256(text) AS sha, list_transform(string_split(text, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{passage}'), lambda x: left(md5(x), 8))) AS tree FROM every),
         written AS (
-            SELECT k, side, sha, list_transform(tree, lambda p: coalesce(array_to_string(p, ','), '')) AS paragraphs, flatten(tree) AS leaves FROM trees),
-        rooted AS (
-            SELECT k, side, sha, leaves, array_to_string(paragraphs, '.') AS tree,
-                regexp_extract_all(array_to_string(list_transform(paragraphs, lambda p: left(md5(p), 16)), ''), '(?:[0-9a-f]{{16}}){{1,{merkle.SECTION}}}') AS sections FROM written),
+            SELECT k, side, sha, flatten(tree) AS leaves,
+                array_to_string(list_transform(list_transform(tree, lambda p: coalesce(array_to_string(p, ','), '')), lambda p: left(md5(p), 16) || ':' || p || '.'), '') AS paragraphs FROM trees),
+        cut AS (
+            SELECT k, side, sha, leaves, regexp_extract_all(paragraphs, '([0-9a-f]{{16}}):', 1) AS nodes,
+                list_transform(regexp_extract_all(paragraphs, '{section}'), lambda s: left(md5(s), 16) || '=' || s) AS sections FROM written),
         printed AS (
-            SELECT k, side, sha, leaves, sha256(array_to_string(list_transform(sections, lambda s: left(md5(s), 16)), '|') || '|' || sha) || ';' || tree AS fingerprint FROM rooted),
+            SELECT *, sha256(array_to_string(list_transform(sections, lambda s: left(s, 16)), '|') || '|' || sha) || ';' || array_to_string(sections, '|') AS fingerprint FROM cut),
         counted AS (SELECT k, side, leaf, count(*) AS n FROM (SELECT k, side, unnest(leaves) AS leaf FROM printed) GROUP BY ALL),
         sizes AS (SELECT k, side, len(leaves) AS n FROM printed),
         common AS (SELECT a.k, b.side, sum(least(a.n, b.n)) AS n FROM counted a JOIN counted b ON a.k = b.k AND a.leaf = b.leaf AND a.side = 0 AND b.side > 0 GROUP BY ALL),
         near AS (
             SELECT a.k, b.side, CASE WHEN a.n + b.n = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(c.n, 0)::DOUBLE / (a.n + b.n)::DOUBLE END AS likeness
-            FROM sizes a JOIN sizes b ON a.k = b.k AND a.side = 0 AND b.side > 0 LEFT JOIN common c ON c.k = a.k AND c.side = b.side)
-        SELECT doc_id, n_chars, e.sha AS edited_sha256, o.fingerprint AS fingerprint, e.fingerprint AS edited_fingerprint, x.likeness AS near_edited, y.likeness AS near_next
+            FROM sizes a JOIN sizes b ON a.k = b.k AND a.side = 0 AND b.side > 0 LEFT JOIN common c ON c.k = a.k AND c.side = b.side),
+        opened AS (
+            SELECT a.k, a.side, regexp_extract_all(array_to_string(list_filter(a.sections, lambda s: NOT list_contains(b.sections, s)), '|'), '([0-9a-f]{{16}}):', 1) AS nodes
+            FROM printed a JOIN printed b ON a.k = b.k AND a.side < 2 AND b.side = 1 - a.side),
+        edits AS (SELECT a.k, list_filter(a.nodes, lambda p: NOT list_contains(b.nodes, p)) AS nodes FROM opened a JOIN opened b ON a.k = b.k AND a.side = 0 AND b.side = 1)
+        SELECT doc_id, n_chars, e.sha AS edited_sha256, o.fingerprint AS fingerprint, e.fingerprint AS edited_fingerprint, x.likeness AS near_edited, y.likeness AS near_next,
+            list_unique(d.nodes)::BIGINT AS edited_paragraphs, list_position(o.nodes, d.nodes[1])::BIGINT - 1 AS first_edited
         FROM pairs p JOIN printed o ON o.k = p.k AND o.side = 0 JOIN printed e ON e.k = p.k AND e.side = 1
-        JOIN near x ON x.k = p.k AND x.side = 1 JOIN near y ON y.k = p.k AND y.side = 2
+        JOIN near x ON x.k = p.k AND x.side = 1 JOIN near y ON y.k = p.k AND y.side = 2 JOIN edits d ON d.k = p.k
     """
 
 

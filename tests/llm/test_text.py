@@ -207,7 +207,7 @@ def test_exchange_ends_where_no_move_helps(seed):
 
 
 def leaves(fingerprint):
-    return Counter(x for x in re.split("[.,]", fingerprint.split(";")[1]) if x)
+    return Counter(re.findall(r"(?<=[:,])[0-9a-f]{8}", fingerprint.split(";")[1]))
 
 
 def test_fingerprints(spark):
@@ -241,6 +241,36 @@ def test_fingerprints_of_edges(spark):
     assert r["edited_sha256"] == hashlib.sha256(b"onlyonly").hexdigest()
 
 
+@pytest.mark.parametrize("ids", ["few", "hot", "none"])
+def test_the_next_document_is_that_of_the_order(spark, ids):
+    rng = random.Random(4)
+    make = {"few": lambda: rng.choice([None, *range(40)]), "hot": lambda: rng.choice([None, 7, 7, 7, rng.randint(0, 500)]), "none": lambda: None}[ids]
+    rows = [(make(), f"text {rng.randint(0, 150)}") for _ in range(400)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest(), r[1]))
+    expected = Counter((i, t, after) for (i, t), (_, after) in zip(order, [*order[1:], order[0]], strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    with_next = merkle.with_next(df)
+    assert Counter((r["doc_id"], r["text"], r["next_text"]) for r in with_next.collect()) == expected
+    digest = merkle.range_of(F.col("doc_id"), F.col("text"), [3, 7, 90], [1, 6, 1], 5)
+    many = df.groupBy("doc_id").agg(F.count_distinct(digest).alias("n")).where("doc_id is null or doc_id = 7").collect()
+    assert all(r["n"] > 3 for r in many if ids != "few")
+
+
+def test_edits_open_differing_sections_only(spark):
+    rng = random.Random(6)
+    paragraphs = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30)) for _ in range(300)]
+    changed = list(paragraphs)
+    changed[100] = "another " + changed[100]
+    changed.insert(200, "a new paragraph of words")
+    a, b = ("\n".join(x) for x in (paragraphs, changed))
+    df = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
+    assert df.select(merkle.locate_edits(F.col("a"), F.col("b"))).first()[0] == [100]
+    assert df.select(merkle.locate_edits(F.col("b"), F.col("a"))).first()[0] == [100, 200]
+    left, right = (set(x.split(";")[1].split("|")) for x in df.first())
+    # two paragraphs differ: of the many sections, two or three
+    assert len(left) > 15 and 1 <= len(left - right) <= 3
+
+
 def test_edits_are_located(spark):
     left = "first paragraph of it.\nthe second one is here.\nand a third one follows."
     right = left.replace("second", "other")
