@@ -18,10 +18,11 @@ def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     return join_counted(both.where("v > u"), least, "u", "degree", 2 * n_edges, HOT_EDGES).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+    moved = join_counted(down, least, "u", "degree", n_edges, HOT_EDGES).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -33,7 +34,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     spark = edges.sparkSession
     now, mark = _written(edges.select("u", "v").where("u <> v").distinct(), name)
     while True:
-        now, seen = _written(_small_star(_large_star(now, mark[0])).distinct(), name)
+        now, seen = _written(_small_star(_large_star(now, mark[0]), mark[0]).distinct(), name)
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = seen

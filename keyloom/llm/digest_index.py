@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, join_counted, materialize, scratch_path, shuffle_partitions, two_columns
+from .common import SPACE_CLASS, free_name, join_counted, mark, materialize, release, scratch_path, shuffle_partitions, two_columns
 
 INDEX_SCHEMA = "digest binary, keep_id bigint"
 
@@ -57,18 +57,18 @@ def keyed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def verdicts(index: DigestIndex, keyed: DataFrame, n_rows: int) -> DataFrame:
-    """One row per row of ``keyed``: doc_id, keep_id, group_size, kept, digest.
+    """One row per row of ``keyed`` (digest, doc_id, and the row's number): doc_id, keep_id, group_size, kept, digest.
 
     ``n_rows`` is the number of rows of ``keyed``. Large groups of copies are
     joined by broadcast, so none lands in one task.
     """
-    sizes = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+    # of rows that repeat id and text, one is the row that stays
+    row = F.coalesce(F.min_by("row", "doc_id"), F.min("row"))
+    sizes = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), row.alias("_first"))
     sizes = materialize(index.spark, sizes, "digest-sizes")
     known = materialize(index.spark, sizes.join(index.read().hint("merge"), "digest"), "digest-groups")
     joined = join_counted(keyed, known.withColumn("_rows", F.col("group_size")), "digest", "_rows", n_rows)
-    # rows that repeat id and text: only the first is the one that stays; such rows share an id, hot digests don't meet here
-    turn = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("group_size"))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (turn == 1)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("_first"))
     return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
 
 
@@ -82,9 +82,10 @@ def deduplicate(
     it already has are dropped in favour of the row it recorded.
     """
     spark = docs.sparkSession
-    if index is None:
+    own = index is None
+    if own:
         index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", scratch_path(spark, "digest-index"))
-    keyed = materialize(spark, keyed_documents(docs, id_col, text_col), "digests")
+    keyed = materialize(spark, keyed_documents(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "digests")
     n_rows = keyed.count()
     cuts = keyed.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     low: float | None = None
@@ -96,7 +97,11 @@ def deduplicate(
             batch = batch.where(F.col("doc_id") <= high)
         index.ingest(batch)
         low = high
-    return verdicts(index, keyed, n_rows)
+    found = verdicts(index, keyed, n_rows)
+    if own:
+        # what it knows of these rows is written by now
+        spark.sql(f"DROP TABLE {index.table}")
+    return found
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
@@ -104,10 +109,14 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
     The survivors are a list of (id, digest); texts move once, to meet it.
     """
-    verdict = materialize(docs.sparkSession, deduplicate(docs), "verdicts")
-    stay = verdict.where("kept").select(F.col("doc_id").alias("_keyloom_id"), F.col("digest").alias("_keyloom_kept"))
-    marked = docs.withColumn("_keyloom_digest", digest_of(F.coalesce(F.col("text"), F.lit(""))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keyloom_id")) & (F.col("_keyloom_digest") == F.col("_keyloom_kept"))
+    spark = docs.sparkSession
+    since = mark(spark)
+    verdict = materialize(spark, deduplicate(docs), "verdicts")
+    release(spark, since, keep=[verdict])
+    own, key, kept_id = (free_name(docs, name) for name in ("_keyloom_digest", "_keyloom_kept", "_keyloom_id"))
+    stay = verdict.where("kept").select(F.col("doc_id").alias(kept_id), F.col("digest").alias(key))
+    marked = docs.withColumn(own, digest_of(F.coalesce(F.col("text"), F.lit(""))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(key))
     kept = marked.join(stay, same, "left_semi")
     repeats = verdict.groupBy("doc_id", "digest").count().where("count > 1")
-    return (kept.dropDuplicates(["doc_id", "_keyloom_digest"]) if not repeats.isEmpty() else kept).drop("_keyloom_digest")
+    return (kept.dropDuplicates(["doc_id", own]) if not repeats.isEmpty() else kept).drop(own)

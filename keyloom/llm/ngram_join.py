@@ -34,9 +34,11 @@ named by a 64-bit hash of the set, and only classes are joined.
    counts all its common shingles by a matrix product, and returns only links that
    join something. So a large group costs rows in proportion to its members.
 
-Shingles are compared by 40 + log2(buckets) bits of a 64-bit hash of their words
-(at least 46): two texts of 1,000 shingles get a false common one with odds of
-about 1e-8, and nothing is lost by it.
+Shingles are compared by a 64-bit hash of their words. Two texts of 1,000 shingles
+get a false common one with odds of 5e-14, which matters only to a pair that lies
+a shingle below the threshold; nothing is lost by it. A class's members must agree
+in a second, independent 64-bit hash of their sets; should two not, all is done
+again with another seed.
 
 Defined results: null and empty texts, and texts of separators only, have the
 empty set and link with nothing; texts of fewer than five words have one shingle,
@@ -56,7 +58,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import IS_SPACE, LOWER, buffers, mix, released, runs, slices, span_hashes
-from .common import join_counted, materialize, two_columns
+from .common import free_name, join_counted, mark, materialize, release, two_columns
 from .components import components
 
 WORDS = 5
@@ -64,9 +66,7 @@ NUMERATOR, DENOMINATOR = 3, 4
 SLICE = 1 << 21
 #: Shingles that a bucket takes in, about; the number of buckets follows the corpus.
 BUCKET_SHINGLES = 1_000_000
-LEAST_BUCKETS = 64
-#: Low bits of a shingle's hash that are kept beside its bucket.
-LOW_BITS = 40
+LEAST_BUCKETS = 256
 #: Prefixes that hold a shingle before it counts as frequent.
 FREQUENT = 24
 #: Set size for each group of frequent shingles.
@@ -82,60 +82,72 @@ BLOCK_COLUMNS = 4096
 _FACTORS = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, document of each, set size, set hash): each document's distinct shingles, ascending."""
+_CHECKS = mix(_FACTORS) | np.uint64(1)
+#: Seeds that are tried before the job gives up.
+SEEDS = 4
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, seed: int = 0, check: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """(hashes, document of each, set size, set hash, second set hash if wanted): each document's distinct shingles, ascending."""
     data = LOWER[data]
     starts, ends, per_doc = runs(~IS_SPACE[data], offsets)
     n_docs = len(per_doc)
     words = span_hashes(data, starts, ends)
+    if seed:
+        words = mix(words + mix(np.full(1, seed, dtype=np.uint64)))
     firsts = np.cumsum(per_doc) - per_doc
     full = np.maximum(per_doc - WORDS + 1, 0)
     # one shingle for each start that has four more words after it in its document
     place = np.arange(len(words)) - np.repeat(firsts, per_doc)
     at = np.flatnonzero(place < np.repeat(full, per_doc))
-    hashes = np.zeros(len(at), dtype=np.uint64)
+    hashes, second = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at) if check else 0, dtype=np.uint64)
     for k in range(WORDS):
         hashes += words[at + k] * _FACTORS[k]
+        if check:
+            second += mix(words[at + k]) * _CHECKS[k]
     owner = np.repeat(np.arange(n_docs), full)
     # texts of one to four words: the whole sequence, marked by its length
     few = np.flatnonzero((per_doc > 0) & (full == 0))
     if len(few):
-        whole = np.zeros(len(few), dtype=np.uint64)
+        whole, other = np.zeros(len(few), dtype=np.uint64), np.zeros(len(few), dtype=np.uint64)
         for k in range(WORDS - 1):
             has = per_doc[few] > k
             whole[has] += words[firsts[few[has]] + k] * _FACTORS[k]
+            other[has] += mix(words[firsts[few[has]] + k]) * _CHECKS[k]
         whole = mix(whole + per_doc[few].astype(np.uint64))
         hashes, owner = np.concatenate([hashes, whole]), np.concatenate([owner, few])
+        second = np.concatenate([second, other]) if check else second
     hashes = mix(hashes)
     order = np.argsort(hashes, kind="stable")
     order = order[np.argsort(owner[order].astype(np.uint16 if n_docs < 65536 else np.int64), kind="stable")]
     hashes, owner = hashes[order], owner[order]
     new = np.ones(len(hashes), dtype=bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    second = mix(second[order][new]) if check else None
     hashes, owner = hashes[new], owner[new]
     sizes = np.bincount(owner, minlength=n_docs).astype(np.int64)
-    sums = np.zeros(n_docs, dtype=np.uint64)
     filled = np.flatnonzero(sizes)
-    if len(filled):
-        begin = (np.cumsum(sizes) - sizes)[filled]
-        sums[filled] = np.add.reduceat(mix(hashes + np.uint64(0x9E3779B97F4A7C15)), begin)
-    return hashes, owner, sizes, mix(sums + sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
+    begin = (np.cumsum(sizes) - sizes)[filled]
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(n_docs, dtype=np.uint64)
+        if len(filled):
+            out[filled] = np.add.reduceat(values, begin)
+        return mix(out + sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
 
+    return hashes, owner, sizes, sums(mix(hashes + np.uint64(0x9E3779B97F4A7C15))), sums(second) if check else None
 
-def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size) and key (the class) of every row."""
+
+def set_table(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """doc_id, n (set size), key (the class) and check (a second hash of the set) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(1))
-            sizes, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for _, _, part, cuts in slices(data, offsets, SLICE):
-                _, _, n, key = shingle_sets(part, cuts)
-                sizes.append(n)
-                keys.append(key)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(keys))], names=["doc_id", "n", "key"])
+            found = [(np.zeros(0, np.int64),) * 3, *(shingle_sets(part, cuts, seed, check=True)[2:] for _, _, part, cuts in slices(data, offsets, SLICE))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], names=["doc_id", "n", "key", "check"])
 
-    return docs.mapInArrow(released(run), "doc_id long, n long, key long")
+    return docs.mapInArrow(released(run), "doc_id long, n long, key long, check long")
 
 
 def _blob(values: np.ndarray, width: int) -> bytes:
@@ -150,20 +162,19 @@ def _unblob(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def shared_shingles(docs: DataFrame, bits: int) -> DataFrame:
+def shared_shingles(docs: DataFrame, bits: int, seed: int = 0) -> DataFrame:
     """(key, token): every class with each of its shingles that another class has too.
 
-    A row may come more than once. ``bits``: log2 of the number of buckets; a
-    token is the leading ``bits`` and the next LOW_BITS bits of a shingle's hash.
+    A row may come more than once. ``bits``: log2 of the number of buckets, the
+    leading bits of a shingle's hash, its token; a bucket's rows keep the other bytes.
     """
-    shift = np.uint64(64 - bits - LOW_BITS)
-    low_mask = np.uint64((1 << LOW_BITS) - 1)
+    shift, width = np.uint64(64 - bits), 8 - bits // 8
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(0))
             for _, _, part, cuts in slices(data, offsets, SLICE):
-                hashes, owner, sizes, keys = shingle_sets(part, cuts)
+                hashes, owner, _, keys, _ = shingle_sets(part, cuts, seed)
                 if not len(hashes):
                     continue
                 # a class stands once in a slice
@@ -171,7 +182,7 @@ def shared_shingles(docs: DataFrame, bits: int) -> DataFrame:
                 once = np.zeros(len(keys), dtype=bool)
                 once[first] = True
                 use = once[owner]
-                tokens, owner = hashes[use] >> shift, owner[use]
+                tokens, owner = hashes[use], owner[use]
                 order = np.argsort(tokens, kind="stable")
                 tokens, owner = tokens[order], owner[order]
                 begins = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
@@ -181,17 +192,17 @@ def shared_shingles(docs: DataFrame, bits: int) -> DataFrame:
                 if several.any():
                     k, t = keys[owner[several]], tokens[several]
                     for at in range(0, len(k), 1 << 16):
-                        rows.append((int(t[at] & np.uint64((1 << bits) - 1)), 1, k[at : at + (1 << 16)].tobytes(), b"", _blob(t[at : at + (1 << 16)], 8)))
+                        rows.append((int(mix(t[at : at + 1])[0] >> shift), 1, k[at : at + (1 << 16)].tobytes(), b"", _blob(t[at : at + (1 << 16)], 8)))
                 # one entry for each token of the slice: its class, or 0 for a witness that it is shared
                 tokens = tokens[begins]
                 own = np.where(counts > 1, len(keys), owner[begins])
                 names = np.append(keys, 0)
-                buckets = (tokens >> np.uint64(LOW_BITS)).astype(np.int64)
+                buckets = (tokens >> shift).astype(np.int64)
                 edges = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
                 for a, b in zip(edges, [*edges[1:], len(tokens)], strict=True):
                     order = np.argsort(own[a:b], kind="stable")
                     who, n = np.unique(own[a:b], return_counts=True)
-                    rows.append((int(buckets[a]), 0, names[who].tobytes(), n.astype("<i4").tobytes(), _blob((tokens[a:b] & low_mask)[order], LOW_BITS // 8)))
+                    rows.append((int(buckets[a]), 0, names[who].tobytes(), n.astype("<i4").tobytes(), _blob(tokens[a:b][order], width)))
                 columns = list(zip(*rows, strict=True))
                 kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "kind", "names", "counts", "tokens"])
@@ -206,7 +217,7 @@ def shared_shingles(docs: DataFrame, bits: int) -> DataFrame:
                 ready_tokens.append(_unblob(packed, 8))
             else:
                 keys.append(np.repeat(own, np.frombuffer(counts, dtype="<i4")))
-                tokens.append(_unblob(packed, LOW_BITS // 8))
+                tokens.append(_unblob(packed, width))
         if keys:
             key, token = np.concatenate(keys), np.concatenate(tokens)
             order = np.argsort(token, kind="stable")
@@ -216,9 +227,10 @@ def shared_shingles(docs: DataFrame, bits: int) -> DataFrame:
             # shared: two classes differ, or a witness says so
             shared = np.repeat((np.minimum.reduceat(key, begins) != np.maximum.reduceat(key, begins)) | (np.maximum.reduceat((key == 0).astype(np.int8), begins) > 0), counts) & (key != 0)
             ready_keys.append(key[shared])
-            ready_tokens.append(token[shared] + (np.uint64(bucket) << np.uint64(LOW_BITS)))
+            low = np.uint64((1 << (64 - bits)) - 1)
+            ready_tokens.append(token[shared] & low | np.uint64(bucket) << shift)
         key, token = np.concatenate(ready_keys), np.concatenate(ready_tokens)
-        return pa.table({"key": pa.array(key, pa.int64()), "token": pa.array(token.astype(np.int64))})
+        return pa.table({"key": pa.array(key, pa.int64()), "token": pa.array(token.view(np.int64))})
 
     dealt = docs.select("text").mapInArrow(released(deal), "bucket int, kind int, names binary, counts binary, tokens binary")
     return dealt.groupBy("bucket").applyInArrow(gather, "key long, token long")
@@ -297,12 +309,12 @@ def _need(n, shared):
     return n - F.floor((NUMERATOR * n + DENOMINATOR - 1) / DENOMINATOR) + 1 - (n - shared)
 
 
-def candidate_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
+def candidate_sets(docs: DataFrame, sets: DataFrame, seed: int = 0) -> DataFrame:
     """(key, n, tokens): the classes that could link, with their shared shingles ascending."""
     spark = docs.sparkSession
     total = sets.agg(F.sum("n")).first()[0] or 0
     bits = max(LEAST_BUCKETS, math.ceil(total / BUCKET_SHINGLES)) - 1
-    tokens = shared_shingles(docs, bits.bit_length()).groupBy("key").agg(F.collect_set("token").alias("tokens"))
+    tokens = shared_shingles(docs, bits.bit_length(), seed).groupBy("key").agg(F.collect_set("token").alias("tokens"))
     classes = sets.where("n > 0").groupBy("key").agg(F.max("n").alias("n"))
     found = tokens.join(classes, "key").where(_need(F.col("n"), F.size("tokens")) > 0)
     return materialize(spark, found.select("key", "n", F.array_sort("tokens").alias("tokens")), "candidate-sets")
@@ -313,9 +325,10 @@ def index_table(candidates: DataFrame) -> DataFrame:
     # as far as a prefix can reach: a group costs one more, and there are n / 12 at most
     reach = (_need(F.col("n"), F.size("tokens")) + F.floor(F.col("n") / 12) + 3).cast("int")
     rows = candidates.select("key", "n", F.explode(F.slice("tokens", F.lit(1), reach)).alias("token"))
-    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT).select("token", F.lit(True).alias("often"))
+    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT).select("token", "c", F.lit(True).alias("often"))
     often = materialize(candidates.sparkSession, often, "frequent-shingles")
-    marked = rows.join(often, "token", "left").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("token", F.coalesce("often", F.lit(False)).alias("often")))).alias("prefix"))
+    n_often = often.agg(F.sum("c")).first()[0] or 0
+    marked = join_counted(rows, often, "token", "c", n_often, how="left").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("token", F.coalesce("often", F.lit(False)).alias("often")))).alias("prefix"))
     whole = marked.join(candidates.select("key", F.size("tokens").alias("shared")), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,20 +363,22 @@ def _with_components(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
     return entries.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("entry", "key", "n", "spare", F.coalesce("root", "key").alias("comp"))
 
 
-def _mixed(entries: DataFrame) -> DataFrame:
+def _mixed(entries: DataFrame, n_rows: int) -> DataFrame:
     """Rows of the entries whose classes are in several components."""
-    several = entries.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("entry")
-    return entries.join(several, "entry", "left_semi")
+    several = entries.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi").select("entry", "rows")
+    return join_counted(entries, several, "entry", "rows", n_rows)
 
 
-def star_pairs(entries: DataFrame) -> DataFrame:
+def star_pairs(entries: DataFrame, n_rows: int) -> DataFrame:
     """Each class with the one hub that it shares most entries with: (a, b).
 
     The hub of an entry is its class with the least unshared shingles; hubs of
     the class's own component don't count.
     """
-    hubs = entries.groupBy("entry").agg(F.min(F.struct("spare", "key", "n", "comp")).alias("hub"))
-    met = entries.join(hubs, "entry").where((F.col("hub.comp") != F.col("comp")) & (DENOMINATOR * F.least("n", "hub.n") >= NUMERATOR * F.greatest("n", "hub.n")))
+    hubs = entries.groupBy("entry").agg(F.min(F.struct("spare", "key", "n", "comp")).alias("hub"), F.count(F.lit(1)).alias("rows"))
+    # an entry of one class has no hub but itself
+    met = join_counted(entries, hubs.where("rows > 1"), "entry", "rows", n_rows)
+    met = met.where((F.col("hub.comp") != F.col("comp")) & (DENOMINATOR * F.least("n", "hub.n") >= NUMERATOR * F.greatest("n", "hub.n")))
     best = met.groupBy("key", F.col("hub.key").alias("hub")).count().groupBy("key").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
     return best.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
 
@@ -384,10 +399,10 @@ def all_pairs(entries: DataFrame) -> DataFrame:
     return met.select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b")).distinct()
 
 
-def zones(entries: DataFrame) -> DataFrame | None:
+def zones(entries: DataFrame, n_rows: int) -> DataFrame | None:
     """(key, zone): classes that crowded entries hold together, directly or by others; None without any."""
     crowded = entries.groupBy("entry").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("v")).where(F.col("c") > CROWD)
-    edges = entries.join(crowded, "entry").select(F.col("key").alias("u"), "v").where("u <> v").distinct()
+    edges = join_counted(entries, crowded, "entry", "c", n_rows).select(F.col("key").alias("u"), "v").where("u <> v").distinct()
     edges = materialize(entries.sparkSession, edges, "crowds")
     if edges.isEmpty():
         return None
@@ -463,8 +478,9 @@ def narrowed(candidates: DataFrame, roots: DataFrame) -> DataFrame:
     spark = candidates.sparkSession
     comps = candidates.select("key", "n", "tokens").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("comp", F.coalesce("root", "key"))
     rows = comps.select("key", "n", "comp", F.explode("tokens").alias("token"))
-    foreign = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    found = rows.join(foreign, "token", "left_semi").groupBy("key", "n").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    foreign = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi").select("token", "rows")
+    n_rows = candidates.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    found = join_counted(rows, foreign, "token", "rows", n_rows).groupBy("key", "n").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
     return materialize(spark, found.where(_need(F.col("n"), F.size("tokens")) > 0).select("key", "n", "tokens"), "narrowed-sets")
 
 
@@ -472,13 +488,13 @@ def first_links(candidates: DataFrame) -> DataFrame:
     """(u, v): links of each class to one hub, by its first shared shingles alone; most groups of near copies join by these."""
     spare = (1000 * (F.col("n") - F.size("tokens")) / F.col("n")).cast("long")
     entries = candidates.select(F.explode(F.slice("tokens", 1, FIRST)).alias("entry"), "key", "n", spare.alias("spare"), F.col("key").alias("comp"))
-    return verify(star_pairs(entries), candidates).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return verify(star_pairs(entries, FIRST * candidates.count()), candidates).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def link_components(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
+def link_components(docs: DataFrame, sets: DataFrame, seed: int = 0) -> DataFrame | None:
     """(node, root) of the classes that link with another; None if none does."""
     spark = docs.sparkSession
-    candidates = candidate_sets(docs, sets)
+    candidates = candidate_sets(docs, sets, seed)
     links: DataFrame | None = None
     roots: DataFrame | None = None
     found = materialize(spark, first_links(candidates), "links")
@@ -487,11 +503,10 @@ def link_components(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
         candidates = narrowed(candidates, roots)
     entries = index_table(candidates)
     # an entry of a single component is no candidate
-    entries = materialize(spark, _mixed(_with_components(entries, roots)).select("entry", "key", "n", "spare"), "index-shared")
-    rest = materialize(spark, _mixed(_with_components(entries, roots)), "open-entries")
+    rest = materialize(spark, _mixed(_with_components(entries, roots), entries.count()), "open-entries")
     if not rest.isEmpty():
         parts = [] if links is None else [links]
-        zoned = zones(rest)
+        zoned = zones(rest, rest.count())
         if zoned is not None:
             parts.append(materialize(spark, block_links(rest, zoned, candidates), "links"))
         found = verify(all_pairs(_with_zones(rest, zoned)), candidates).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -510,30 +525,30 @@ def _with_zones(entries: DataFrame, zoned: DataFrame | None) -> DataFrame:
     return marked.join(settled, "entry", "left_anti")
 
 
-def link_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(all linking pairs of classes (a, b), membership (doc_id, n, key)); equal sets are one class."""
-    docs = two_columns(docs, id_col, text_col)
-    sets = materialize(docs.sparkSession, set_table(docs), "sets")
-    candidates = candidate_sets(docs, sets)
-    entries = materialize(docs.sparkSession, _mixed(_with_components(index_table(candidates), None)), "index-shared")
-    return verify(all_pairs(_with_zones(entries, None)), candidates), sets
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     spark = docs.sparkSession
     docs = two_columns(docs, id_col, text_col)
-    sets = materialize(spark, set_table(docs), "sets")
-    roots = link_components(docs, sets)
-    firsts = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    since = mark(spark)
+    for seed in range(SEEDS):
+        sets = materialize(spark, set_table(docs, seed), "sets")
+        firsts = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+        firsts = materialize(spark, firsts, "classes")
+        if firsts.where("lo <> hi").isEmpty():
+            break
+    else:
+        raise ArithmeticError(f"hashes of sets collide with {SEEDS} seeds")
+    roots = link_components(docs, sets, seed)
+    firsts = firsts.drop("lo", "hi")
     if roots is not None:
         named = firsts.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         # a component's first document: of its classes, not of its documents
-        least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-        named = named.join(least, "root")
+        least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+        named = join_counted(named, least, "root", "classes", named.count())
     else:
         named = firsts.withColumn("component_id", F.col("first"))
     named = materialize(spark, named.select("key", "component_id", "copies"), "class-components")
+    release(spark, since, keep=[sets, named])
     some = join_counted(sets.where("n > 0"), named, "key", "copies", sets.count())
     alone = sets.where("n = 0").withColumn("component_id", F.col("doc_id"))
     return some.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -545,6 +560,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     The document that stays has the smallest id of its component; rows with a
     null id stay, and so do all rows that repeat the id that stays.
     """
-    stay = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keyloom_stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == F.col("_keyloom_stay"), "left_semi")
+    own = free_name(docs, "_keyloom_stay")
+    stay = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(own)).distinct()
+    kept = docs.join(stay, docs["doc_id"] == F.col(own), "left_semi")
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))

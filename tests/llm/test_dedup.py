@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keyloom.llm import common, digest_index, ngram_join
 from keyloom.llm import components as component_module
@@ -53,6 +54,20 @@ def test_drop_copies_keeps_columns(spark):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(i for i, _ in expected if i is not None)
 
 
+def test_own_names_dont_clash(spark):
+    names = ["_keyloom_digest", "_keyloom_id", "_keyloom_kept", "_keyloom_stay"]
+    df = spark.createDataFrame([(1, "a b c d e f", *"wxyz"), (2, "a  b c d e f", *"wxyz"), (3, "other", *"stuv")], ["doc_id", "text", *names])
+    for drop in (digest_index.drop_copies, ngram_join.drop_near_duplicates):
+        got = drop(df)
+        assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [(1, "a b c d e f", *"wxyz"), (3, "other", *"stuv")]
+
+
+def test_own_index_goes(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    digest_index.deduplicate(spark.createDataFrame([(1, "a")], "doc_id long, text string")).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_persistent_index(spark):
     index = digest_index.DigestIndex(spark, "digest_index_test", buckets=3)
     first = spark.createDataFrame([(5, "a b"), (6, "c")], "doc_id long, text string")
@@ -133,17 +148,29 @@ def test_near_duplicates(spark, monkeypatch, seed, frequent, crowd, block, hot):
     same_rows(ngram_join.near_duplicates(df).collect(), brute_near(rows))
 
 
-def test_all_links(spark):
-    rows = corpus(9, 90)
-    pairs, members = ngram_join.link_pairs(spark.createDataFrame(rows, "doc_id long, text string"))
-    key = {r["doc_id"]: r["key"] for r in members.collect()}
-    expected = set()
-    for a, (i, s) in enumerate(rows):
-        for j, t in rows[:a]:
-            x, y = shingles(s), shingles(t)
-            if x != y and x and 100 * len(x & y) >= 75 * len(x | y):
-                expected.add((min(key[i], key[j]), max(key[i], key[j])))
-    assert {tuple(r) for r in pairs.collect()} == expected
+def test_sets_that_collide_are_hashed_anew(spark, monkeypatch):
+    rows = corpus(5, 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tables = []
+
+    def colliding(docs, seed=0):
+        table = real(docs, seed)
+        tables.append(seed)
+        # with the first seed all classes have one name
+        return table.withColumn("key", F.lit(1).cast("long")) if seed == 0 else table
+
+    real = ngram_join.set_table
+    monkeypatch.setattr(ngram_join, "set_table", colliding)
+    same_rows(ngram_join.near_duplicates(df).collect(), brute_near(rows))
+    assert tables == [0, 1]
+
+
+def test_left_join_keeps_rows_without_a_partner(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    left = spark.createDataFrame([(k % 4 if k > 10 else 9, k) for k in range(30)], "k int, v int")
+    right = left.groupBy("k").count().where("k <> 2").withColumn("w", F.col("k") * 2)
+    got = common.join_counted(left, right, "k", "count", 30, how="left")
+    same_rows(got.collect(), [(r[0], r[1], None if r[0] == 2 else 2 * r[0]) for r in left.collect()])
 
 
 def test_near_duplicates_edges(spark):
