@@ -88,6 +88,14 @@ def release(spark: SparkSession, since: int, keep: Iterable[DataFrame] = (), unt
     own.paths[since : since + len(tail)] = [p for p in tail if p in stay]
 
 
+def discard(spark: SparkSession, table: DataFrame) -> None:
+    """Delete a table that ``materialize`` returned."""
+    own = _scratch(spark)
+    where, fs = _java_path(spark, table._keyloom_path)
+    fs.delete(where, True)
+    own.paths.remove(table._keyloom_path)
+
+
 def give_back(spark: SparkSession) -> None:
     """Return the memory that the driver has freed to the system.
 
