@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import mark, materialize, release, scratch_path
+from ..scratch import discard, mark, materialize, release, scratch_path
 
-__all__ = ["SPACE_CLASS", "fold", "free_name", "join_counted", "mark", "materialize", "read_table", "release", "scratch_path", "shuffle_partitions", "two_columns"]
+__all__ = ["SPACE_CLASS", "discard", "fold", "free_name", "join_counted", "mark", "materialize", "read_table", "release", "scratch_path", "shuffle_partitions", "two_columns"]
 
 #: Bytes that separate words in the contracts of this subpackage.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
