@@ -6,7 +6,8 @@ the columns of ``documents``.
 
 Null texts count as empty; the filters keep rows without an id unless their text
 is rejected; repeated rows are judged alike, and exact dedup leaves one of them;
-an empty table, or one without labels, passes through; other columns stay.
+an empty table, or one without labels, passes through; other columns stay, whatever
+their names: the stages name their own columns apart from them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm import digest_index, ngram_join, packing, quality, toxicity
-from keyloom.llm.common import materialize, read_table
+from keyloom.llm.common import discard, mark, materialize, read_table, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -59,8 +60,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from the table of documents."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages, from the table of documents; what a stage has written goes when the next one's result is there."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(spark, stage(spark, docs, sf_dir), f"stage-{name}")
+        since = mark(spark)
+        made = materialize(spark, stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, since, keep=[made])
+        if before is not None:
+            discard(spark, before)
+        docs = before = made
     return docs
