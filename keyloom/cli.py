@@ -28,6 +28,7 @@ from .operators.engine import Engine
 from .operators.index import Indexes
 from .operators.sinks import write_binary, write_tsv
 from .plans.catalog import Catalog
+from .sources import files
 
 
 class UsageError(ValueError):
@@ -99,8 +100,8 @@ def _run(args: list[str], spark: SparkSession | None, out) -> int:
         return 1
     catalog = Catalog.from_files(o["files"]) if o["files"] else Catalog.load(o["dataset"])
     spark = spark or SparkSession.builder.appName("keyloom").getOrCreate()
-    place = os.path.abspath(o["files"][0] if o["files"] else o["dataset"])
-    indexes = Indexes(spark, catalog, os.path.join(place if os.path.isdir(place) else os.path.dirname(place), ".keyloom_index"))
+    place = files.absolute(o["files"][0] if o["files"] else o["dataset"])
+    indexes = Indexes(spark, catalog, files.join(place if files.is_folder(place) else files.folder_of(place), ".keyloom_index"))
     if o["index"] is not None:
         indexes.build(o["index"])
         return 0
@@ -115,7 +116,7 @@ def _run(args: list[str], spark: SparkSession | None, out) -> int:
     if not o["fields"]:
         return 1
     binary = o["binary"]
-    query = Engine(spark, catalog).plan(o["fields"], o["select"], bool(binary and binary["unscaled"]))
+    query = Engine(spark, catalog, indexes).plan(o["fields"], o["select"], bool(binary and binary["unscaled"]))
     if not binary or not binary["size"]:
         write_tsv(query, out)
         return 0

@@ -141,24 +141,23 @@ def bands() -> tuple[Band, ...]:
     return tuple(out)
 
 
-def band_temperature(number: int, scan: int, radiance: np.ndarray) -> float:
-    """Temperature whose band radiance is nearest to the weighted mean of the channels; 0 where it can't be had."""
+def band_temperatures(number: int, scan: int, radiances: np.ndarray) -> np.ndarray:
+    """For each row of radiances the temperature whose band radiance is nearest to the weighted mean of its channels; 0 where it can't be had."""
     band = bands()[number - 1]
     step = 2 if scan == 1 else 1
     first, last = (band.single_first, band.single_last) if scan == 1 else (band.first, band.last)
-    if last // step >= len(radiance):
-        return 0.0
-    r = np.asarray(radiance[first // step : last // step + 1], dtype=np.float64)
-    if (r < 0).any():
-        return 0.0
-    weights = band.response[first - band.first :: step][: len(r)]
-    mean = float(weights @ np.where(r == 0, TINY, r)) / band.sum(scan)
-    at = int(np.searchsorted(band.table, mean, "left"))
-    if at >= len(band.table) or (at == 0 and mean != band.table[0]):
-        return 0.0
-    if mean != band.table[at] and abs(mean - band.table[at]) >= abs(mean - band.table[at - 1]):
-        at -= 1
-    return COLDEST + at * TEMPERATURE_STEP
+    if last // step >= radiances.shape[1]:
+        return np.zeros(len(radiances))
+    r = radiances[:, first // step : last // step + 1].astype(np.float64)
+    weights = band.response[first - band.first :: step][: r.shape[1]]
+    mean = np.where(r == 0, TINY, r) @ weights / band.sum(scan)
+    at = np.searchsorted(band.table, mean, "left")
+    inside = np.minimum(at, len(band.table) - 1)
+    exact = band.table[inside] == mean
+    usable = ~(r < 0).any(axis=1) & (at < len(band.table)) & ((at > 0) | exact)
+    below = np.maximum(inside - 1, 0)
+    nearer = np.abs(mean - band.table[inside]) < np.abs(mean - band.table[below])
+    return np.where(usable, COLDEST + np.where(exact | nearer, inside, below) * TEMPERATURE_STEP, 0.0)
 
 
 def irtm(scan_len: Column, radiance: Column, _temperature: Column | None = None) -> Column:
@@ -167,7 +166,14 @@ def irtm(scan_len: Column, radiance: Column, _temperature: Column | None = None)
     @F.pandas_udf("array<double>")
     def look_up(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for scans, rows in parts:
-            yield pd.Series([[band_temperature(k, int(s), np.zeros(0) if r is None else np.asarray(r)) for k in range(1, 6)] for s, r in zip(scans, rows, strict=True)])
+            out = np.zeros((len(rows), len(BANDS)))
+            sizes = np.array([0 if r is None else len(r) for r in rows])
+            for scan, size in set(zip(scans.tolist(), sizes.tolist(), strict=True)):
+                own = np.flatnonzero((scans.to_numpy() == scan) & (sizes == size))
+                stacked = np.stack([np.asarray(rows.iloc[k], dtype=np.float64) for k in own]) if size else np.zeros((len(own), 0))
+                for k in range(len(BANDS)):
+                    out[own, k] = band_temperatures(k + 1, int(scan), stacked)
+            yield pd.Series(list(out))
 
     return look_up(scan_of(scan_len), radiance)
 

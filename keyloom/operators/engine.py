@@ -18,6 +18,7 @@ from ..plans.catalog import Catalog, Table
 from ..plans.fields import FieldError, Output, Span, parse_fields, slice_fixed, value_column
 from ..plans.keys import KeyOrderError, canonical_keys, key_sequence
 from ..plans.selects import Range, parse_select, predicates
+from .index import Indexes
 
 
 def first_per_key(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
@@ -68,10 +69,10 @@ class Query:
 
 
 class Engine:
-    """Plans and runs queries over a catalog."""
+    """Plans and runs queries over a catalog. With ``indexes``, scans leave out the blocks that hold none of the selected records."""
 
-    def __init__(self, spark: SparkSession, catalog: Catalog):
-        self.spark, self.catalog = spark, catalog
+    def __init__(self, spark: SparkSession, catalog: Catalog, indexes: Indexes | None = None):
+        self.spark, self.catalog, self.indexes = spark, catalog, indexes
 
     def query(self, fields: str, select: str = "", unscaled: bool = False) -> DataFrame:
         return self.plan(fields, select, unscaled).dataframe()
@@ -126,7 +127,9 @@ class Engine:
 
     def _rows(self, table: Table, columns: list[str], ranges: list[Range]) -> DataFrame:
         """A table's filtered rows, the first of each key only."""
-        df = table.scan(self.spark, columns)
+        own = [r for r in ranges if r.table is table]
+        blocks = self.indexes.blocks(own) if self.indexes is not None and own else None
+        df = table.scan(self.spark, columns, blocks)
         if (condition := predicates(ranges, table)) is not None:
             df = df.where(condition)
         keys = [F.col(f"`{k.column}`") for k in table.definition.key_fields()]

@@ -1,14 +1,15 @@
 """Sinks: tab-separated text, framed binary, and the type mask.
 
-Both writers go through the ordered rows one at a time from an iterator that
-fetches partition by partition. ``write_text_files`` writes in parallel instead,
-one file for each partition.
+The executors format rows in Arrow batches. ``write_tsv`` and ``write_binary``
+bring the formatted rows to one stream, partition by partition;
+``write_text_files`` and ``write_binary_files`` write in parallel, one file for
+each range of ascending keys.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
 from typing import BinaryIO, TextIO
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..plans.fields import Output
+from ..sources.writer import write_bytes
 from .engine import Query
 
 MISSING = "N/A"
@@ -61,36 +63,50 @@ def _cells(row: Iterable[object], outputs: list[Output]) -> Iterator[str]:
         yield from (format_value(v, o) for v in values or [None])
 
 
-def write_tsv(query: Query, out: TextIO, with_header: bool = True) -> int:
-    """Header and rows in key order; the number of rows."""
-    if with_header:
-        out.write(header(query.outputs) + "\n")
-    n = 0
-    for row in query.ordered().toLocalIterator():
-        out.write("\t".join(_cells(row, query.outputs)) + "\n")
-        n += 1
-    return n
+def _plain(outputs: list[Output]) -> list[Output]:
+    """The outputs as they say how to format; tables and frames of the catalog stay behind."""
+    outputs = [replace(o, table=None) for o in outputs]
+    return [replace(o, virtual=replace(o.virtual, build=None)) if o.virtual else o for o in outputs]
 
 
-def text_lines(query: Query, ordered: bool = True) -> DataFrame:
-    """The rows' lines as one string column, formatted by the executors in Arrow batches."""
-    outputs = query.outputs
+def _formatted(query: Query, ordered: bool, one: Callable[[tuple], object], kind: str, join: Callable[[list], object] | None = None) -> DataFrame:
+    """A column ``value`` of the formatted rows; ``join`` makes one value of a batch's, with the number of its ``rows``."""
+    arrow = pa.string() if kind == "string" else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = ["\t".join(_cells(row, outputs)) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+            values = [one(row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            if join:
+                yield pa.RecordBatch.from_arrays([pa.array([join(values)], arrow), pa.array([len(values)])], names=["value", "rows"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(values, arrow)], names=["value"])
 
-    # the outputs say how to format; tables and frames of the catalog stay behind
-    outputs = [replace(o, table=None) for o in outputs]
-    outputs = [replace(o, virtual=replace(o.virtual, build=None)) if o.virtual else o for o in outputs]
     rows = query.ordered() if ordered else query.dataframe()
-    return rows.toDF(*[f"c{k}" for k in range(len(outputs))]).mapInArrow(run, "value string")
+    return rows.toDF(*[f"c{k}" for k in range(len(query.outputs))]).mapInArrow(run, f"value {kind}" + (", rows long" if join else ""))
+
+
+def text_lines(query: Query, ordered: bool = True) -> DataFrame:
+    """The rows' lines as one string column, formatted by the executors."""
+    outputs = _plain(query.outputs)
+    return _formatted(query, ordered, lambda row: "\t".join(_cells(row, outputs)), "string")
+
+
+def write_tsv(query: Query, out: TextIO, with_header: bool = True) -> int:
+    """Header and rows in key order; the number of rows."""
+    if with_header:
+        out.write(header(query.outputs) + "\n")
+    n = 0
+    for row in text_lines(query).toLocalIterator(prefetchPartitions=True):
+        out.write(row["value"] + "\n")
+        n += 1
+    return n
 
 
-def write_text_files(query: Query, path: str) -> None:
-    """The same rows without a header, in files of ascending key ranges."""
-    text_lines(query).write.text(path)
+def write_text_files(query: Query, folder: str, with_header: bool = True) -> None:
+    """The rows in files of ascending key ranges, ``part-00000.tsv`` and so on, each with the header."""
+    outputs = _plain(query.outputs)
+    lines = _formatted(query, True, lambda row: ("\t".join(_cells(row, outputs)) + "\n").encode(), "binary")
+    write_bytes(lines, folder, ".tsv", (header(outputs) + "\n").encode() if with_header else b"")
 
 
 # -- binary --------------------------------------------------------------
@@ -140,28 +156,44 @@ def type_mask(query: Query, schema: T.StructType) -> str:
     return out
 
 
-def write_binary(query: Query, out: BinaryIO, size: int = 4, mask: bool = False) -> int:
-    """Rows in key order as frames of 4 or 8 bytes in the machine's byte order; the number of rows."""
+def binary_frames(query: Query, size: int = 4, ordered: bool = True, whole: bool = False) -> DataFrame:
+    """The rows as frames of 4 or 8 bytes in the machine's byte order: a binary ``value`` for each row, or (``whole``) for each batch."""
     if size not in (4, 8):
         raise ValueError("frames have 4 or 8 bytes")
-    rows: DataFrame = query.ordered()
-    kinds = [_kind(o, f.dataType) for o, f in zip(query.outputs, rows.schema.fields, strict=True)]
-    if mask:
-        out.write(type_mask(query, rows.schema).encode() + b"\n")
-    n = 0
-    for row in rows.toLocalIterator():
-        for x, o, kind in zip(row, query.outputs, kinds, strict=True):
+    outputs = _plain(query.outputs)
+    kinds = [_kind(o, f.dataType) for o, f in zip(query.outputs, query.dataframe().schema.fields, strict=True)]
+
+    def one(row: tuple) -> bytes:
+        out = []
+        for x, o, kind in zip(row, outputs, kinds, strict=True):
             if not o.is_array:
-                out.write(_frame(x, kind, size, _width(o)))
+                out.append(_frame(x, kind, size, _width(o)))
                 continue
             values = [None] if x is None else list(x)
             if _open(o):
                 values = [v for v in values if v is not None]
-                out.write(_frame(len(values), "I", size, 0))
+                out.append(_frame(len(values), "I", size, 0))
             else:
                 low, high = o.bounds()
                 values += [None] * (high - low + 1 - len(values))
-            for v in values:
-                out.write(_frame(v, kind, size, _width(o)))
-        n += 1
+            out += [_frame(v, kind, size, _width(o)) for v in values]
+        return b"".join(out)
+
+    return _formatted(query, ordered, one, "binary", b"".join if whole else None)
+
+
+def write_binary(query: Query, out: BinaryIO, size: int = 4, mask: bool = False) -> int:
+    """Rows in key order as frames of 4 or 8 bytes in the machine's byte order; the number of rows."""
+    frames = binary_frames(query, size, whole=True)
+    if mask:
+        out.write(type_mask(query, query.dataframe().schema).encode() + b"\n")
+    n = 0
+    for row in frames.toLocalIterator(prefetchPartitions=True):
+        out.write(row["value"])
+        n += row["rows"]
     return n
+
+
+def write_binary_files(query: Query, folder: str, size: int = 4, mask: bool = False) -> None:
+    """The same in files of ascending key ranges, ``part-00000.bin`` and so on, each with the mask if wanted."""
+    write_bytes(binary_frames(query, size, whole=True), folder, ".bin", type_mask(query, query.dataframe().schema).encode() + b"\n" if mask else b"")

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import files
 from ..sources.fragments import FORMAT, FragmentSource, dump_table
-from ..sources.odl import find_file
 from ..sources.schema import BitField, Field, SchemaError, TableDef, load_fragment, load_table
 
 LIST_NAMES = ("DATASET", "DATASET.LST", "DATASET.TXT")
@@ -32,30 +32,51 @@ class Table:
     """A table and how to scan it.
 
     ``order``: columns that give the order of records within equal keys, for
-    tables that aren't fragments. ``unique``: the keys are known to be unique.
+    tables that aren't fragments; those of Parquet files have the order of their
+    files and rows without it. ``unique``: the keys are known to be unique.
     """
 
     definition: TableDef
     frame: DataFrame | None = None
     order: tuple[str, ...] = ()
     unique: bool = False
+    #: Does the frame read files, so that its rows have places?
+    placed: bool = False
 
     @property
     def name(self) -> str:
         return self.definition.name
 
-    def scan(self, spark: SparkSession, columns: list[str]) -> DataFrame:
-        """The named scan columns with ``_frag`` and ``_rec``, or with the order columns."""
+    def files(self) -> list[str]:
+        """The files that hold the table, as places name them."""
+        return sorted(self.frame.inputFiles()) if self.frame is not None else [f.path for f in self.definition.fragments]
+
+    def scan(self, spark: SparkSession, columns: list[str], blocks: dict[str, list[int]] | None = None, places: bool = False) -> DataFrame:
+        """The named scan columns, with those that give the order of records.
+
+        ``blocks``: files of which only these blocks of BLOCK_ROWS rows are wanted;
+        more may be read. ``places``: with ``_file`` and ``_rec``, a row's place in it.
+        """
         if self.frame is not None:
+            frame = self.frame
+            if blocks is not None and (gone := [f for f, some in blocks.items() if not some]):
+                frame = frame.where(~F.col("_metadata.file_path").isin(gone))
+            own = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_rec")] if places or (self.placed and not self.order) else []
             names = list(dict.fromkeys([*columns, *self.order]))
-            return self.frame.select(*[F.col(f"`{c}`") for c in names])
+            return frame.select(*[F.col(f"`{c}`") for c in names], *own)
         spark.dataSource.register(FragmentSource)
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-        return spark.read.format(FORMAT).option("table", dump_table(self.definition)).option("columns", json.dumps(columns)).load()
+        reader = spark.read.format(FORMAT).option("table", dump_table(self.definition)).option("columns", json.dumps(columns))
+        if blocks is not None:
+            reader = reader.option("blocks", json.dumps({str(k): blocks[f.path] for k, f in enumerate(self.definition.fragments) if f.path in blocks}))
+        df = reader.load()
+        return df.withColumn("_file", F.get(F.from_json(F.lit(json.dumps(self.files())), "array<string>"), F.col("_frag"))) if places else df
 
     @property
     def record_order(self) -> tuple[str, ...]:
-        return self.order if self.frame is not None else ("_frag", "_rec")
+        if self.frame is None:
+            return ("_frag", "_rec")
+        return self.order or (("_file", "_rec") if self.placed else ())
 
 
 def data_files(folder: str, prefix: str) -> list[str]:
@@ -65,19 +86,17 @@ def data_files(folder: str, prefix: str) -> list[str]:
     links are left out.
     """
     found: dict[str, str] = {}
-    for entry in sorted(os.scandir(folder), key=lambda e: e.name):
-        stem, end = os.path.splitext(entry.name)
-        if end.lower() not in _ENDINGS or not entry.name.lower().startswith(prefix.lower()) or not os.path.exists(entry.path):
-            continue
-        if stem.lower() not in found or end.lower() == ".lbl":
-            found[stem.lower()] = entry.path
-    return sorted(found.values(), key=lambda p: os.path.basename(p).lower())
+    for name in files.names(folder):
+        stem, end = os.path.splitext(name)
+        if end.lower() in _ENDINGS and name.lower().startswith(prefix.lower()) and (stem.lower() not in found or end.lower() == ".lbl"):
+            found[stem.lower()] = files.join(folder, name)
+    return sorted(found.values(), key=lambda p: files.name_of(p).lower())
 
 
 def table_name_of(path: str) -> str:
     """What a file's name says before its first digit or dot."""
-    name = re.split(r"[\d.]", os.path.basename(path), maxsplit=1)[0]
-    return name or os.path.basename(path)
+    name = re.split(r"[\d.]", files.name_of(path), maxsplit=1)[0]
+    return name or files.name_of(path)
 
 
 @dataclass
@@ -86,22 +105,22 @@ class Catalog:
 
     # -- building ---------------------------------------------------------
 
-    def add_files(self, entry: str, files: list[str]) -> None:
+    def add_files(self, entry: str, paths: list[str]) -> None:
         """Fragments of a table; a table that is there already takes them in, in the order of their names."""
-        if not files:
+        if not paths:
             raise CatalogError(f"no files for table {entry}")
         same = next((t for t in self.tables if t.definition.entry.lower() == entry.lower() and t.frame is None), None)
         if same is None:
-            same = Table(load_table(files[0], entry))
+            same = Table(load_table(paths[0], entry))
             self.tables.append(same)
-        fragments = same.definition.fragments + [load_fragment(f) for f in files]
-        same.definition.fragments = sorted(fragments, key=lambda f: os.path.basename(f.path).lower())
+        fragments = same.definition.fragments + [load_fragment(f) for f in paths]
+        same.definition.fragments = sorted(fragments, key=lambda f: files.name_of(f.path).lower())
 
     @classmethod
-    def from_files(cls, files: list[str]) -> Catalog:
+    def from_files(cls, paths: list[str]) -> Catalog:
         """One table of the files named, called after the first of them."""
         made = cls()
-        made.add_files(table_name_of(files[0]), list(files))
+        made.add_files(table_name_of(paths[0]), list(paths))
         return made
 
     @classmethod
@@ -116,27 +135,25 @@ class Catalog:
         return made
 
     def _load(self, path: str, opened: tuple[str, ...]) -> None:
-        if os.path.isdir(path):
-            found = next((p for n in LIST_NAMES if (p := find_file(os.path.join(path, n)))), None)
+        if files.is_folder(path):
+            found = next((p for n in LIST_NAMES if (p := files.find(files.join(path, n)))), None)
             if found is None:
                 raise CatalogError(f"{path} has no {' or '.join(LIST_NAMES)}")
             path = found
-        elif not os.path.exists(path):
+        elif not files.exists(path):
             raise CatalogError(f"{path} doesn't exist")
-        path = os.path.abspath(path)
+        path = files.absolute(path)
         if path in opened:
             raise CatalogError(f"{path} lists itself")
-        folder = os.path.dirname(path)
-        with open(path, encoding="latin-1") as f:
-            lines = [line.strip().replace("\\", "/") for line in f]
+        folder = files.folder_of(path)
+        lines = [line.strip().replace("\\", "/") for line in files.read(path).decode("latin-1").splitlines()]
         for line in filter(None, lines):
             if line.endswith("/"):
-                self._load(os.path.join(folder, line), (*opened, path))
+                self._load(files.join(folder, line), (*opened, path))
                 continue
             inner, _, name = line.rpartition("/")
-            place = os.path.join(folder, inner)
-            files = data_files(place, name) if os.path.isdir(place) else []
-            self.add_files(name, files)
+            place = files.join(folder, inner) if inner else folder
+            self.add_files(name, data_files(place, name) if files.is_folder(place) else [])
 
     def add_frame(
         self,
@@ -149,6 +166,7 @@ class Catalog:
         dimensions: dict[str, int] | None = None,
         order: list[str] | None = None,
         unique: bool = False,
+        placed: bool = False,
     ) -> Catalog:
         """A table that is a DataFrame. Array columns without a dimension are variable arrays.
 
@@ -171,15 +189,15 @@ class Catalog:
             for b in bits.get(column.name, []):
                 fields.append(replace(made, name=f"{column.name}:{b.name}", alias=f"{made.alias or column.name}:{b.alias or b.name}", bits=b, kind="int" if b.signed else "uint"))
         keys = keys or []
-        if keys and not order and not unique:
+        if keys and not order and not unique and not placed:
             raise CatalogError(f"table {name}: give an order of records, or say that its keys are unique")
-        self.tables.append(Table(TableDef(name, name, fields, list(keys)), frame, tuple(order or ()), unique))
+        self.tables.append(Table(TableDef(name, name, fields, list(keys)), frame, tuple(order or ()), unique, placed))
         return self
 
     def add_parquet(self, spark: SparkSession, name: str, path: str | list[str], **options) -> Catalog:
-        """As ``add_frame``; several paths are one table."""
+        """As ``add_frame``; several paths are one table, whose records have the order of their files without ``order``."""
         paths = [path] if isinstance(path, str) else list(path)
-        return self.add_frame(name, spark.read.parquet(*paths), **options)
+        return self.add_frame(name, spark.read.parquet(*paths), placed=True, **options)
 
     def register_views(self, spark: SparkSession) -> None:
         """Every table as a temporary view of its own name."""

@@ -19,19 +19,30 @@ def same_key(a: Field, b: Field) -> bool:
 def canonical_keys(tables: list[Table]) -> list[list[int]]:
     """For each table the numbers of its keys; keys that are the same have the same number."""
     known: list[list[Field]] = []
+    group_of: list[int] = []
     out = []
     for t in tables:
         numbers = []
         for key in t.definition.key_fields():
             hits = [k for k, group in enumerate(known) if any(same_key(key, other) for other in group)]
-            if hits:
-                known[hits[0]].append(key)
-                numbers.append(hits[0])
-            else:
-                known.append([key])
-                numbers.append(len(known) - 1)
+            if not hits:
+                hits = [len(known)]
+                known.append([])
+                group_of.append(hits[0])
+            # a key that is the same as those of several groups makes them one
+            first, *others = hits
+            for k in others:
+                known[first] += known[k]
+                known[k] = []
+                group_of = [first if g == k else g for g in group_of]
+            known[first].append(key)
+            numbers.append(first)
         out.append(numbers)
-    return out
+    merged = [[group_of[k] for k in numbers] for numbers in out]
+    for t, numbers in zip(tables, merged, strict=True):
+        if len(set(numbers)) < len(numbers):
+            raise KeyOrderError(f"two keys of {t.name} are the same key of another table")
+    return merged
 
 
 def key_sequence(orders: list[list[int]]) -> list[int]:

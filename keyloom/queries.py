@@ -227,20 +227,8 @@ def emissivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("vec_id", *[F.round(c, 5).alias(c) for c in df.columns if c != "vec_id"])
 
 
-@query()
-def t20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Engine(spark, _observations(spark, sf_dir, positive=True)).query("vec_id t20")
-
-
-@query()
-def irtm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(Engine(spark, _observations(spark, sf_dir, positive=True)).plan("vec_id irtm[1:5]").flattened())
-
-
 def _indexed(spark: SparkSession, sf_dir: str) -> tuple[Engine, Indexes]:
     catalog = _orders(spark, sf_dir)
-    catalog.tables[0].order = ("o_orderkey",)
-    catalog.tables[1].order = ("l_orderkey", "l_linenumber", *LINEITEM_ORDER)
     indexes = Indexes(spark, catalog, scratch_path(spark, "index"))
     indexes.build("o_totalprice o_orderpriority l_quantity")
     return Engine(spark, catalog), indexes
@@ -274,3 +262,7 @@ def file_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT concat_ws(chr(9), o_orderkey, o_custkey, o_orderpriority) AS value FROM orders WHERE o_orderkey BETWEEN 100 AND 5000")
 def tsv_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_lines(_alone(spark, sf_dir, "orders", keys=["o_orderkey"], unique=True).plan("o_orderkey o_custkey o_orderpriority", "o_orderkey 100 5000"))
+
+
+# the queries over stored tables register themselves
+from . import stored_queries  # noqa: E402,F401

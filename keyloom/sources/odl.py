@@ -3,16 +3,20 @@
 A label is a sequence of lines ``KEYWORD = value``, ``OBJECT = CLASS`` ...
 ``END_OBJECT`` and a closing ``END``, after which binary data may follow. Values
 keep their raw text, quotes and ``<units>`` included; helpers take them apart.
-``^STRUCTURE = "file"`` splices another label file in its place.
+``^STRUCTURE = "file"``, or ``^ANY_STRUCTURE``, splices another label file in its place.
 """
 
 from __future__ import annotations
 
-import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from fnmatch import fnmatchcase
 
+from . import files
+
+#: Keywords that name a label file to be put in their place.
+INCLUDES = "^*STRUCTURE"
 #: A line without a newline within so many bytes ends the label.
 LINE_LIMIT = 256
 
@@ -28,6 +32,7 @@ class LabelObject:
     kind: str
     keywords: list[tuple[str, str]] = field(default_factory=list)
     children: list[LabelObject] = field(default_factory=list)
+    parent: LabelObject | None = field(default=None, repr=False, compare=False)
 
     def get(self, *names: str) -> str | None:
         """Raw value of the first keyword that any of the patterns names, in the patterns' order."""
@@ -37,15 +42,39 @@ class LabelObject:
                     return value
         return None
 
-    def find(self, kind: str) -> LabelObject | None:
-        """The first object of a class, this one included, in the order of the text."""
-        return next(self.find_all(kind), None)
-
-    def find_all(self, kind: str):
-        if fnmatchcase(unquote(self.kind), unquote(kind)):
-            yield self
+    def find(self, kind: str, scope: str = "subtree") -> LabelObject | None:
+        """The first object of a class in a scope, in the order of the text."""
+        return next(self.find_all(kind, scope), None)
+
+    def find_all(self, kind: str, scope: str = "subtree") -> Iterator[LabelObject]:
+        """Objects whose class the pattern ``kind`` names, ``*`` standing for anything.
+
+        Scopes: ``this`` object alone, its ``children``, its ``siblings`` that come
+        after it, its ``subtree``, itself included, or from itself to the ``end`` of
+        the label.
+        """
+        later = self.parent.children[self.place() + 1 :] if self.parent else []
+        among = {"this": [self], "children": self.children, "siblings": later, "subtree": self._below(), "end": self._onwards()}
+        if scope not in among:
+            raise LabelError(f"{scope} is no scope of a search: {', '.join(among)}")
+        return (o for o in among[scope] if fnmatchcase(unquote(o.kind), unquote(kind)))
+
+    def place(self) -> int:
+        """Which child of its parent the object is."""
+        return next(k for k, o in enumerate(self.parent.children) if o is self)
+
+    def _below(self) -> Iterator[LabelObject]:
+        yield self
         for child in self.children:
-            yield from child.find_all(kind)
+            yield from child._below()
+
+    def _onwards(self) -> Iterator[LabelObject]:
+        yield from self._below()
+        at = self
+        while at.parent:
+            for child in at.parent.children[at.place() + 1 :]:
+                yield from child._below()
+            at = at.parent
 
 
 def unquote(text: str) -> str:
@@ -152,13 +181,13 @@ def parse_label(raw: bytes, base: str | None = None, _open: tuple[str, ...] = ()
         if name == "END" and not equals:
             break
         if name == "OBJECT":
-            child = LabelObject(unquote(value))
+            child = LabelObject(unquote(value), parent=stack[-1])
             stack[-1].children.append(child)
             stack.append(child)
         elif name == "END_OBJECT":
             if len(stack) > 1:
                 stack.pop()
-        elif name == "^STRUCTURE" and base is not None:
+        elif base is not None and fnmatchcase(name, INCLUDES):
             _include(stack[-1], unquote(value), base, _open)
         elif equals:
             stack[-1].keywords.append((name, value))
@@ -166,25 +195,13 @@ def parse_label(raw: bytes, base: str | None = None, _open: tuple[str, ...] = ()
 
 
 def _include(into: LabelObject, name: str, base: str, opened: tuple[str, ...]) -> None:
-    path = find_file(os.path.join(base, name))
+    path = files.find(files.join(base, name))
     if path is None:
         raise LabelError(f"included file {name} is not in {base}")
     if path in opened:
         raise LabelError(f"{name} includes itself")
-    with open(path, "rb") as f:
-        tree = parse_label(f.read(), os.path.dirname(path), (*opened, path))
+    tree = parse_label(files.read(path), files.folder_of(path), (*opened, path))
     into.keywords += tree.keywords
     into.children += tree.children
-
-
-def find_file(path: str) -> str | None:
-    """The path, or a file of the same folder whose name differs by case only."""
-    if os.path.exists(path):
-        return path
-    folder, name = os.path.split(path)
-    try:
-        names = sorted(os.listdir(folder or "."))
-    except OSError:
-        return None
-    same = [n for n in names if n.lower() == name.lower()]
-    return os.path.join(folder, same[0]) if same else None
+    for child in tree.children:
+        child.parent = into

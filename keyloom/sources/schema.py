@@ -10,7 +10,8 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 from pyspark.sql import types as T
 
-from .odl import LabelError, LabelObject, find_file, leading_int, leading_real, list_values, parse_label, unit_of, unquote
+from . import files
+from .odl import LabelError, LabelObject, leading_int, leading_real, list_values, parse_label, unit_of, unquote
 
 #: DATA_TYPE keyword -> (kind of value, numpy letter, byte order). Fixed names of the label standard.
 DATA_TYPES = {
@@ -211,8 +212,7 @@ def _make_fields(column: LabelObject) -> list[Field]:
 
 def read_label(path: str) -> tuple[LabelObject, LabelObject]:
     """(whole tree, the first TABLE object in it)."""
-    with open(path, "rb") as f:
-        tree = parse_label(f.read(), os.path.dirname(os.path.abspath(path)))
+    tree = parse_label(files.read(path), files.folder_of(files.absolute(path)))
     table = tree.find("TABLE")
     if table is None:
         raise LabelError(f"{path} declares no TABLE")
@@ -263,27 +263,26 @@ def load_fragment(path: str) -> Fragment:
             n = leading_int(numbers[0])
             offset = n - 1 if (unit_of(numbers[0]) or "").upper() == "BYTES" else (n - 1) * record_bytes
     if name:
-        found = find_file(os.path.join(os.path.dirname(path), name))
+        found = files.find(files.join(files.folder_of(path), name))
         if found is None:
             raise LabelError(f"{path} points to {name}, which isn't there")
         data = found
     elif detached:
         stem = path[:-4]
-        data = next((p for end in (".dat", ".DAT", ".tab", ".TAB") if (p := find_file(stem + end))), None)
+        data = next((p for end in (".dat", ".DAT", ".tab", ".TAB") if (p := files.find(stem + end))), None)
         if data is None:
             raise LabelError(f"{path} has no data file beside it")
-    size = os.path.getsize(data)
+    size = files.size(data)
     if offset + rows * row_bytes > size:
         warnings.warn(f"{data} is shorter than {rows} rows; the whole rows in it are read", stacklevel=2)
         rows = max(0, (size - offset) // row_bytes)
-    stem = os.path.splitext(data)[0]
-    side = find_file(stem + ".var")
+    side = files.find(os.path.splitext(data)[0] + ".var")
     return Fragment(
-        os.path.abspath(data),
+        files.absolute(data),
         offset,
         rows,
         row_bytes,
-        os.path.abspath(side) if side else None,
+        files.absolute(side) if side else None,
         tuple(_key_list(table, "START_KEYS", "START_PRIMARY_KEY", "START_KEY")),
         tuple(_key_list(table, "END_KEYS", "STOP_PRIMARY_KEY", "STOP_KEY")),
     )

@@ -14,7 +14,7 @@ from keyloom import cli
 from keyloom.functions import spectral
 from keyloom.operators.engine import Engine
 from keyloom.operators.index import IndexError_, Indexes
-from keyloom.operators.sinks import type_mask, write_binary, write_text_files, write_tsv
+from keyloom.operators.sinks import type_mask, write_binary, write_text_files, write_binary_files, write_tsv
 from keyloom.plans.catalog import Catalog, CatalogError, data_files, table_name_of
 from keyloom.plans.fields import FieldError
 from keyloom.plans.keys import KeyOrderError, key_sequence
@@ -200,7 +200,10 @@ def test_text_and_binary_sinks(engine, tmp_path):
     assert raw.getvalue()[:12] == struct.pack("=iff", 2, -200 * s, 300 * s) and raw.getvalue()[-4:] == struct.pack("=i", 0)
     assert type_mask(query, query.ordered().schema) == "VR"
     write_text_files(engine.plan("obs.sclk"), str(tmp_path / "text"))
-    assert "".join(p.read_text() for p in sorted((tmp_path / "text").glob("part*"))).split() == ["10", "20", "30", "40", "50", "60"]
+    assert "".join(p.read_text() for p in sorted((tmp_path / "text").glob("part*"))).split() == ["obs.sclk", "10", "20", "30", "40", "50", "60"]
+    query = engine.plan("obs.sclk")
+    write_binary_files(query, str(tmp_path / "frames"), 8, mask=True)
+    assert b"".join(p.read_bytes() for p in sorted((tmp_path / "frames").iterdir())) == b"U\n" + b"".join(struct.pack("=q", k) for k in range(10, 70, 10))
 
 
 def test_vax_order_ascii_and_plain_elements(spark, tmp_path):
@@ -258,11 +261,12 @@ def test_fragment_pruning_keeps_rows(engine, spark):
 def test_indexes(engine, spark, tmp_path):
     indexes = Indexes(spark, engine.catalog, f"file://{tmp_path}/idx")
     indexes.build("target_temp quality:low grid[2] name obs.sclk")
-    assert rows(indexes.lookup("obs.sclk 20 50 quality:low 3 3", "obs")) == [(1, 1)]
-    assert rows(indexes.lookup("name ABD ABD\x7f", "geo")) == [(0, 2)]
+    files = {t.name: t.files() for t in engine.catalog.tables}
+    assert rows(indexes.lookup("obs.sclk 20 50 quality:low 3 3", "obs")) == [(files["obs"][1], 1)]
+    assert rows(indexes.lookup("name ABD ABD\x7f", "geo")) == [(files["geo"][0], 2)]
     assert [tuple(r) for r in indexes.rough_count("target_temp 210 260 obs.sclk 10 60").collect()] == [("rad", 2, 100.0)]
     stats = {(r["table"], r["field"]): (r["records"], r["distinct_values"], r["indexed_percent"], r["encoding"]) for r in indexes.statistics().collect()}
-    assert stats["geo", "name"] == (4, 3, 100.0, "repeated") and stats["obs", "sclk"] == (6, 6, 100.0, "unique")
+    assert stats["geo", "name"] == (4, 3, 100.0, "repeated") and stats["obs", "sclk"] == (6, 6, 100.0, "ordered")
     for wrong in ("cal_rad", "grid", "grid[1:2]"):
         with pytest.raises(IndexError_):
             indexes.build(wrong)
@@ -327,7 +331,13 @@ def test_radiance_edge_cases(spark):
     df = spark.createDataFrame([("1", None), ("1", [1e-6] * 10), ("2", [-1.0] * 200), ("1", [0.0] * 143)], "s string, r array<double>")
     assert [r[0] for r in df.select(spectral.t20(f.col("s"), f.col("r"))).collect()][:3] == [0.0, 0.0, 0.0]
     assert [r[0][3] for r in df.select(spectral.irtm(f.col("s"), f.col("r"))).collect()] == [0.0] * 4
-    assert spectral.band_temperature(1, 2, np.zeros(10)) == 0.0
+    assert spectral.band_temperatures(1, 2, np.zeros((1, 10))).tolist() == [0.0]
+    rng = np.random.default_rng(3)
+    # all rows at once as each by itself, of either scan and of several lengths
+    mixed = [(str(rng.integers(1, 3)), (rng.random(int(n)) * 1e-6).tolist()) for n in rng.choice([100, 143, 150, 286, 300], 60)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(mixed)], "k int, s string, r array<double>").coalesce(1)
+    got = [r[0] for r in df.orderBy("k").select(spectral.irtm(f.col("s"), f.col("r"))).collect()]
+    assert got == [[float(spectral.band_temperatures(b, int(s), np.array([r]))[0]) for b in range(1, 6)] for s, r in mixed]
 
 
 def test_virtual_columns_in_queries(engine):
