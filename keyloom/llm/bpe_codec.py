@@ -22,6 +22,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import two_columns
@@ -30,8 +31,9 @@ from .word_bpe import END, WordBpe, shared_vocabulary
 #: Distinct words, and tested pairs, that a worker remembers.
 MEMORY = 200_000
 PAIR_MEMORY = 1_000_000
-#: Texts encoded together, so that their new words are verified together.
+#: Texts, and bytes of them, encoded together, so that their new words are verified together.
 GROUP = 256
+GROUP_BYTES = 2 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -44,6 +46,8 @@ class Codec:
         self.known: dict[str, tuple[str, int, str]] = {}
         self.pairs = np.zeros(0, dtype=np.int64)
         self.verdicts = np.zeros(0, dtype=bool)
+        #: 1, 0, or -1 where it isn't known: whether a token that ends a word is a word's exact encoding.
+        self.alone = np.full(len(self.tokens), -1, dtype=np.int8)
         self.counts = {"words": 0, "failed": 0}
 
     def propose(self, spelled: str) -> list[int] | None:
@@ -87,6 +91,12 @@ class Codec:
             self.pairs, self.verdicts = np.insert(self.pairs, spots, new), np.insert(self.verdicts, spots, fresh)
         return verdict[where]
 
+    def stands_alone(self, ids: np.ndarray) -> np.ndarray:
+        """Does each token's own string merge into it? Found out once a token."""
+        for i in np.unique(ids[self.alone[ids] < 0]).tolist():
+            self.alone[i] = len(self.bpe.merge(self.tokens[i][: -len(END)])) == 1
+        return self.alone[ids] > 0
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word."""
         spelled = [self.bpe.spell(w) for w in words]
@@ -102,9 +112,8 @@ class Codec:
             owner = np.repeat(np.arange(len(words)), sizes)
             ok = self.check((flat[left] << 32) + flat[left + 1])
             good[owner[left[~ok]]] = False
-        # a token alone: its own string must merge into it
-        for k in np.flatnonzero(good & (sizes == 1)):
-            good[k] = len(self.bpe.merge(spelled[k])) == 1
+        single = np.flatnonzero(good & (sizes == 1))
+        good[single] = self.stands_alone(flat[starts[single]])
         vocab, merge = self.bpe.vocab, self.bpe.merge
         self.counts["words"] += len(words)
         self.counts["failed"] += int((~good).sum())
@@ -172,6 +181,17 @@ def encode_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     return _encode(docs, vocabulary, id_col, text_col, SCHEMA, lambda ids, n, text: (n, sha(ids), sha(text)))
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of GROUP rows and GROUP_BYTES at most, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, min(first + GROUP, int(np.searchsorted(ends, before + GROUP_BYTES, side="right"))))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def _encode(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, schema: str, shape) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
     columns = [c.split()[0] for c in schema.split(", ")]
@@ -180,8 +200,7 @@ def _encode(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, schema
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(sent.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, GROUP):
-                part = batch.slice(at, GROUP)
+            for part in _groups(batch):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 rows = [shape(*r) for r in codec.encode_many(texts)]
                 arrays = [pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds[1:], strict=True)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import join_counted, materialize
 
 #: Edges of a node, two numbers each, from which it doesn't share a task with others.
-HOT_EDGES = 50_000
+HOT_EDGES = 1000
 
 
 def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
