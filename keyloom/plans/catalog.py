@@ -10,6 +10,7 @@ import json
 import os
 import re
 from dataclasses import dataclass, field, replace
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,10 @@ class Table:
 
     def files(self) -> list[str]:
         """The files that hold the table, as places name them."""
-        return sorted(self.frame.inputFiles()) if self.frame is not None else [f.path for f in self.definition.fragments]
+        if self.frame is None:
+            return [f.path for f in self.definition.fragments]
+        # the frame lists URIs, rows know plain paths
+        return sorted(re.sub("^file:/+", "file:/", unquote(f)) for f in self.frame.inputFiles())
 
     def scan(self, spark: SparkSession, columns: list[str], blocks: dict[str, list[int]] | None = None, places: bool = False) -> DataFrame:
         """The named scan columns, with those that give the order of records.
