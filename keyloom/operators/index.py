@@ -3,7 +3,8 @@
 An index is a Parquet table of ``(file, rec, number, value, text)``, one value
 column for each kind, sorted by value within each file of the index, so row-group
 statistics prune a range lookup. Beside it lies the list of the files it covers:
-those that were added to the table later are not indexed, and are read whole.
+those that were added to the table, or written anew, later are not indexed, and
+are read whole.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..plans.catalog import Catalog, Table
 from ..plans.fields import parse_fields
 from ..plans.selects import Range, element_of, parse_select
+from ..sources import files
 from ..sources.fragments import BLOCK_ROWS
 from ..sources.schema import Field, SchemaError
 
@@ -68,7 +70,7 @@ class Indexes:
             made.append((o.table, o.field, element))
         for table, field, element in made:
             folder, own = self._folder(table.name, field.name, element), _value_name(field)
-            covered = self.spark.createDataFrame([(f,) for f in table.files()], "file string")
+            covered = self.spark.createDataFrame(self._versions(table), "file string, version string")
             entries = self._entries(table, field, element)
             entries.repartitionByRange(own).sortWithinPartitions(own, "file", "rec").write.mode("overwrite").parquet(f"{folder}/entries")
             covered.coalesce(1).write.mode("overwrite").parquet(f"{folder}/files")
@@ -78,8 +80,15 @@ class Indexes:
         folder = self._folder(r.table.name, r.field.name, r.element)
         if not self._exists(folder):
             return None
-        covered = {row[0] for row in self.spark.read.parquet(f"{folder}/files").collect()}
-        return self.spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/entries"), covered & set(r.table.files())
+        covered = {tuple(row) for row in self.spark.read.parquet(f"{folder}/files").select("file", "version").collect()}
+        return self.spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/entries"), {f for f, _ in covered & set(self._versions(r.table))}
+
+    @staticmethod
+    def _versions(table: Table) -> list[tuple[str, str]]:
+        """The table's files, with what changes when a fragment is written anew; Parquet files aren't."""
+        if table.frame is not None:
+            return [(f, "") for f in table.files()]
+        return [(f.path, files.version(f.path)) for f in table.definition.fragments]
 
     def _exists(self, path: str) -> bool:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -173,12 +182,12 @@ class Indexes:
         # a file's entries are one task's worth: files are what tables are cut into
         records = Window.partitionBy(*own, "file").orderBy("rec")
         rows = entries.withColumns({"step": F.coalesce(F.col("text") > F.lag("text").over(records), F.col("number") > F.lag("number").over(records), F.col("value") > F.lag("value").over(records), F.lit(True)), "same": F.col("v") == F.lag("v").over(records)})
-        files = rows.groupBy(*own, "file").agg(
+        per_file = rows.groupBy(*own, "file").agg(
             F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("d"), F.min(F.col("step").cast("int")).alias("steps"), F.count_if(~F.coalesce("same", F.lit(False))).alias("runs")
         )
         # four bytes for each record and two more, against eight for each run
         layout = F.when((F.col("n") == F.col("d")) & (F.col("steps") == 1), "ordered").when(F.col("n") == F.col("d"), "unique").when(F.col("n") + 2 <= 2 * F.col("runs"), "repeated").otherwise("runs")
-        shapes = files.groupBy(*own).agg(F.array_join(F.array_sort(F.collect_set(layout)), ",").alias("encoding"), F.count(F.lit(1)).alias("fragments"))
+        shapes = per_file.groupBy(*own).agg(F.array_join(F.array_sort(F.collect_set(layout)), ",").alias("encoding"), F.count(F.lit(1)).alias("fragments"))
         stats = entries.groupBy(*own).agg(F.count(F.lit(1)).alias("records"), F.count_distinct("v").alias("distinct_values")).join(shapes, own)
         known = {t.name: max(1, len(t.files())) for t in self.catalog.tables if t.frame is None or t.placed}
         of = F.create_map(*[F.lit(x) for pair in known.items() for x in pair]) if known else F.create_map()

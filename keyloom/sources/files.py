@@ -60,6 +60,15 @@ def size(path: str) -> int:
     return os.path.getsize(here) if here is not None else _info(path).size
 
 
+def version(path: str) -> str:
+    """Size and time of the last change."""
+    here = _local(path)
+    if here is not None:
+        found = os.stat(here)
+        return f"{found.st_size} {found.st_mtime_ns}"
+    return f"{_info(path).size} {_info(path).mtime_ns}"
+
+
 def names(folder: str) -> list[str]:
     """Names of the files and folders in a folder, sorted; links that lead nowhere are left out."""
     here = _local(folder)

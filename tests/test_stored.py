@@ -106,6 +106,10 @@ def test_indexes_leave_out_blocks(spark, tmp_path):
         assert scan.count() <= blocks * fragments.BLOCK_ROWS and sum(map(len, indexes.blocks(quick_ranges(catalog, select)).values())) == blocks
         assert sorted(quick.query("k", select).collect()) == sorted(plain.query("k", select).collect())
     assert tasks(quick, "x 17 18") >= 1
+    # a fragment that is written anew is no longer covered
+    os.utime(catalog.tables[0].files()[0], ns=(1, 1))
+    assert list(indexes.blocks(quick_ranges(catalog, "x 17 18"))) == catalog.tables[0].files()[1:]
+    assert sorted(quick.query("k", "x 17 18").collect()) == sorted(plain.query("k", "x 17 18").collect())
 
 
 def quick_ranges(catalog, select):
