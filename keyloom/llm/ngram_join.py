@@ -30,9 +30,10 @@ named by a 64-bit hash of the set, and only classes are joined.
    that are whole drop out. Then classes of one entry that are still in
    different components meet, all of them, so no component is missed. Entries of
    more than ``CROWD`` such classes are not written out as pairs: the classes that
-   they hold together are dealt into blocks of ``BLOCK``, and each pair of blocks
-   counts all its common shingles by a matrix product, and returns only links that
-   join something. So a large group costs rows in proportion to its members.
+   they hold together are dealt into blocks of ``BLOCK`` of about one size, and each
+   pair of blocks of sizes that can link counts all its common shingles by a matrix
+   product, and returns only links that join something. So a large group writes no
+   more links than it has members; its classes are copied once for each block.
 
 Shingles are compared by a 64-bit hash of their words. Two texts of 1,000 shingles
 get a false common one with odds of 5e-14, which matters only to a pair that lies
@@ -73,7 +74,7 @@ FREQUENT = 24
 GROUP_SIZE = 16
 #: Classes of an entry, not yet in one component, from which blocks take the place of pairs.
 CROWD = 24
-BLOCK = 512
+BLOCK = 1024
 #: Shared shingles of a class that look for a hub before the index is built.
 FIRST = 8
 #: Shingles that a block's matrix takes in at once.
@@ -460,10 +461,18 @@ def _link_block(table: pa.Table) -> pa.Table:
 
 def block_links(entries: DataFrame, zoned: DataFrame, candidates: DataFrame) -> DataFrame:
     """(u, v): links between the components of each zone, enough to join what links."""
-    members = entries.select("key", "n", "comp").distinct().join(zoned, "key")
-    counts = zoned.groupBy("zone").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    placed = members.join(counts, "zone").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    # sizes that link lie within a factor of 4 / 3, three steps of 1.1 and a part
+    level = F.floor(F.log(F.col("n").cast("double")) / math.log(1.1)).cast("long")
+    members = materialize(candidates.sparkSession, entries.select("key", "n", "comp").distinct().join(zoned, "key").withColumn("level", level), "zone-members")
+    counts = members.groupBy("zone", "level").agg(F.count(F.lit(1)).alias("rows"))
+    shape = F.collect_list(F.struct("level", F.ceil(F.col("rows") / BLOCK).cast("long").alias("parts")))
+    shapes = counts.groupBy("zone").agg(shape.alias("shape"), F.sum("rows").alias("rows"))
+    placed = join_counted(members, shapes, "zone", "rows", members.count())
+    block = lambda level, part: level * F.lit(1 << 32) + part
+    own = F.element_at(F.filter("shape", lambda x: x["level"] == F.col("level")), 1)["parts"]
+    near = F.filter("shape", lambda x: F.abs(x["level"] - F.col("level")) <= 4)
+    others = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["parts"] - 1), lambda p: block(x["level"], p))))
+    placed = placed.withColumns({"part": block(F.col("level"), F.pmod(F.xxhash64("key"), own)), "others": others}).select("zone", "key", "n", "comp", "part", F.explode("others").alias("other"))
     pairs = placed.select("zone", "key", "n", "comp", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     rows = pairs.join(candidates.select("key", "tokens"), "key")
     return rows.groupBy("zone", "low", "high").applyInArrow(_link_block, "u long, v long")
