@@ -198,6 +198,7 @@ def bigram_counts(blocks: DataFrame, frequent: np.ndarray) -> np.ndarray:
     table = blocks.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     out = np.zeros(m * m, dtype=np.int64)
     got = table.toArrow()  # a bounded number of pairs
+    sent.destroy()
     out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
     return out.reshape(m, m)
 

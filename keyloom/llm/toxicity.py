@@ -285,6 +285,7 @@ def trusted_edits(sample: DataFrame, terms: list[Term]) -> list[Term]:
             yield pa.RecordBatch.from_arrays([pa.array(hits), pa.array(n)], names=["term", "n"])
 
     rows = sample.select("text", "label").mapInArrow(tally, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    sent.destroy()
     often = max(1, sample.count() * ORDINARY)
     ordinary = {r["term"] for r in rows if r["n"] > often}
     return [replace(t, edits=0) if k in ordinary else t for k, t in enumerate(terms)]
@@ -308,6 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxicity
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
     got = sample.select("doc_id", "label", "text").mapInArrow(released(hits), "doc_id long, label int, x array<double>").collect()
+    sent.destroy()
     got.sort(key=lambda r: (r["doc_id"], r["x"]))
     x, y = np.array([r["x"] for r in got]), np.array([r["label"] for r in got], dtype=float)
     model.coefficients, model.bias = _regress(x, y)

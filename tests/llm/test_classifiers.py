@@ -13,8 +13,10 @@ import corpus_pipeline
 from keyloom.llm import bytescan, digest_index, ngram_join, packing, quality, toxicity
 from keyloom.llm.levenshtein import Term, build
 
+from . import brute
 from .helpers import SMALL, edge_frame, edge_rows, empty_frame, labels_frame, needs_data
-from .test_text import edit_distance
+from .brute import edit_distance
+from .test_dedup import brute_near
 
 # -- automaton -------------------------------------------------------------------
 
@@ -144,6 +146,21 @@ def test_lexicon_takes_in_any_number_of_terms_and_long_ones():
         assert got.get(k) == min((x for x in near if x[0] <= terms[x[1]].edits), default=None), word[:20]
 
 
+def test_toxicity_scores_are_those_of_the_definition(spark):
+    rng = random.Random(5)
+    rows = toxic_rows(300)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, labels_frame(spark, [(i, 1, t) for i, _, t in rows]))
+    spell = lambda w: w[: rng.randrange(len(w))] + rng.choice("xyzé") + w[rng.randrange(len(w)) :]
+    texts = [t for _, t in edge_rows() if t and len(t) < 5000] + ["", 'they said "snorgbat" here', "you zwopple!", "«kravitz» “snorgbat”, tu\n" * 5]
+    for _, text, _ in rows[:120]:
+        words = text.split()
+        for k in rng.sample(range(len(words)), min(3, len(words))):
+            words[k] = rng.choice([words[k].upper(), spell(words[k]), '"' + words[k] + '"', words[k] + "!", "zwopple", spell("snorgbat"), "you"])
+        texts.append(rng.choice([" ", "\t", "\n"]).join(words))
+    assert model.logits(pa.array(texts)).tolist() == pytest.approx([brute.toxicity_logit(model, t) for t in texts])
+
+
 # -- quality ---------------------------------------------------------------------
 
 
@@ -199,6 +216,13 @@ def test_quality_of_a_text_doesnt_depend_on_its_neighbours(spark):
     assert again.bias == model.bias and (again.table == model.table).all()
 
 
+def test_quality_scores_are_those_of_the_definition():
+    rng = np.random.default_rng(2)
+    model = quality.QualityModel(rng.normal(size=quality.BUCKETS).astype(np.float32), 0.25)
+    texts = [t for _, t in edge_rows() if t and len(t) < 5000] + ["", "a", "ab", "one", "one one", " x\ty "] + [t for _, t, _ in quality_rows(40)]
+    assert model.logits(*bytescan.buffers(pa.array(texts))).tolist() == pytest.approx([brute.quality_logit(model, t) for t in texts], rel=1e-6, abs=1e-6)
+
+
 @pytest.mark.parametrize("op", [toxicity, quality])
 def test_classifiers_on_edges(spark, op):
     none, some = labels_frame(spark), labels_frame(spark, [(i, i % 2, i % 2) for i in range(1, 15)] + [(None, 1, 1), (4, None, None), (5, 9, 9), (6, 0, 0)])
@@ -240,6 +264,24 @@ def test_pipeline(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SMALL).collect())) == expected
 
 
+@needs_data
+def test_pipeline_is_that_of_the_definitions(spark):
+    """All five stages in plain Python but for what the two models learn."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    frame = lambda: docs.join(spark.createDataFrame([(i,) for i, _ in rows], "doc_id long"), "doc_id")
+    model = toxicity.fit(frame(), labels)
+    rows = [r for r in rows if brute.toxicity_logit(model, r[1]) < 0]
+    model = quality.fit(frame(), labels)
+    rows = [r for r in rows if brute.quality_logit(model, r[1]) >= 0]
+    kept = brute.exact_kept(rows)
+    rows = [r for r in rows if r[0] in kept]
+    rows = [r for r, (i, _, component) in zip(rows, brute_near(rows), strict=True) if i == component]
+    assert 0 < len(rows) < docs.count()
+    got = corpus_pipeline.run(spark, SMALL).select("doc_id", "n_words", "bucket_bound", "batch_id", "slot", "padding").collect()
+    assert sorted(map(tuple, got)) == brute.packed(rows)
+
+
 def test_stages_on_edges(spark, tmp_path):
     labels_frame(spark).write.parquet(f"{tmp_path}/labels.parquet")
     for frame in (edge_frame(spark), empty_frame(spark)):

@@ -19,6 +19,7 @@ from keyloom.llm import bpe_codec, bytescan, class_lm, license_scan, merkle, pac
 from keyloom.llm.queries import word_bpe_path
 from keyloom.llm.word_bpe import WordBpe
 
+from .brute import edit_distance
 from .helpers import edge_frame, edge_rows, empty_frame, same_rows
 
 # -- language model ----------------------------------------------------------
@@ -319,15 +320,6 @@ def test_every_length_is_told_apart(spark):
 # -- license scan --------------------------------------------------------------
 
 
-def edit_distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row, old = [i], row
-        for j, y in enumerate(b, 1):
-            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
-    return row[-1]
-
-
 def test_license_base(spark):
     rows = edge_rows() + [(30, "Under the  MIT-License, under the mit license"), (31, "é Apache License, Version 2 apache license version 2.0"), (32, "cc by nc cc-by-nc xcc by nc")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
