@@ -78,7 +78,10 @@ def decode_text(raw: np.ndarray, kind: str) -> np.ndarray | list:
     number = np.int64 if kind == "int" else np.float64
     try:
         # most columns hold plain numbers and blanks
-        return np.char.strip(raw).astype(number)
+        values = np.char.strip(raw).astype(number)
+        if not np.isfinite(values).all() or (np.char.find(raw, b"_") >= 0).any():
+            raise ValueError("words and groups of digits are no numbers here")
+        return values
     except ValueError:
         pattern = _INT if kind == "int" else _REAL
         return np.array([number(m[1]) if (m := pattern.match(v)) else number(0) for v in raw.tolist()], dtype=number)

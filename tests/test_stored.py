@@ -77,6 +77,16 @@ def test_fragments_come_back(spark, tmp_path, monkeypatch, span):
     assert all(scaled[r[0]] == r[8] * 0.25 + 1 for r in made)
 
 
+def test_numbers_in_characters():
+    raw = lambda *values: np.array([v.encode() for v in values], dtype="S8")
+    assert list(fragments.decode_text(raw(" 12", "-7 ", "+3"), "int")) == [12, -7, 3]
+    assert list(fragments.decode_text(raw("1.5e2", "-.5", " 7"), "real")) == [150.0, -0.5, 7.0]
+    # what doesn't begin with a number is 0, and what follows one is left out
+    assert list(fragments.decode_text(raw("1_000", "", "4x", "x"), "int")) == [1, 0, 4, 0]
+    assert list(fragments.decode_text(raw("nan", "inf", "2.5 m", "."), "real")) == [0.0, 0.0, 2.5, 0.0]
+    assert list(fragments.decode_text(np.array([b"a b ", b"c\0d"], dtype="S4"), "string")) == ["a b ", "c"]
+
+
 def test_an_empty_table_has_a_fragment(spark, tmp_path):
     write_fragments(spark.createDataFrame([], SCHEMA), str(tmp_path), every_kind(), 3)
     engine = Engine(spark, Catalog.from_files([files.join(str(tmp_path), n) for n in files.names(str(tmp_path)) if n.endswith(".lbl")]))
