@@ -19,6 +19,7 @@ import os
 import socket
 import sys
 import time
+import uuid
 from contextlib import nullcontext
 
 from pyspark.sql import SparkSession
@@ -72,10 +73,10 @@ def parse(args: list[str]) -> dict:
 
 
 def _log(args: list[str], began: float, code: int) -> None:
-    """One line for each run in the file that KEYLOOM_LOG names."""
-    if path := os.environ.get("KEYLOOM_LOG"):
-        with open(path, "a", encoding="utf-8") as f:
-            f.write(f"{time.strftime('%Y-%m-%dT%H:%M:%S')}\t{getpass.getuser()}\t{socket.gethostname()}\t{time.time() - began:.2f}\t{code}\t{' '.join(args)}\n")
+    """A line about each run, in a file of its own in the folder that KEYLOOM_LOG names."""
+    if folder := os.environ.get("KEYLOOM_LOG"):
+        line = f"{time.strftime('%Y-%m-%dT%H:%M:%S')}\t{getpass.getuser()}\t{socket.gethostname()}\t{time.time() - began:.2f}\t{code}\t{' '.join(args)}\n"
+        files.write(files.join(folder, f"{time.time_ns()}-{uuid.uuid4().hex[:8]}.log"), line.encode())
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
@@ -120,7 +121,7 @@ def _run(args: list[str], spark: SparkSession | None, out) -> int:
     if not binary or not binary["size"]:
         write_tsv(query, out)
         return 0
-    target = nullcontext(getattr(out, "buffer", out)) if binary["file"] == "-" else open(binary["file"], "wb")
+    target = nullcontext(getattr(out, "buffer", out)) if binary["file"] == "-" else files.open_output(binary["file"])
     with target as f:
         write_binary(query, f, binary["size"], binary["mask"])
     return 0

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import os
 import posixpath
-import tempfile
 from functools import lru_cache
 
 import pyarrow as pa
@@ -35,11 +34,6 @@ def _remote(path: str) -> tuple:
     return _store(f"{scheme}://{host}/"), "/" + inner if scheme in ("hdfs", "viewfs") else f"{host}/{inner}"
 
 
-def local_scratch() -> str:
-    """A new folder of this machine, for what only the driver reads."""
-    return tempfile.mkdtemp(prefix="keyloom-")
-
-
 def _info(path: str):
     store, inner = _remote(path)
     return store.get_file_info(inner)

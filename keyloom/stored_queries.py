@@ -407,10 +407,9 @@ def command_line_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'I' || chr(10) AS mask, 4 * count(*) AS bytes FROM part WHERE p_size BETWEEN 5 AND 10")
 def command_line_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = os.path.join(files.local_scratch(), "out.bin")
+    target = files.join(scratch_path(spark, "command-line"), "out.bin")
     _run(spark, dataset(spark, sf_dir), "-fields", "level", "-select", "size_word 5 10", "-Bfmu", target)
-    with open(target, "rb") as f:
-        content = f.read()
+    content = files.read(target)
     return spark.createDataFrame([(content[:2].decode(), len(content) - 2)], "mask string, bytes long")
 
 
@@ -426,7 +425,7 @@ def command_line_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT * FROM (VALUES (0, '-v'), (1, '-fields nothing')) t(code, args)")
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = os.path.join(files.local_scratch(), "log")
+    target = scratch_path(spark, "log")
     before = os.environ.get("KEYLOOM_LOG")
     os.environ["KEYLOOM_LOG"] = target
     try:
@@ -436,8 +435,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         os.environ.pop("KEYLOOM_LOG")
         if before is not None:
             os.environ["KEYLOOM_LOG"] = before
-    with open(target, encoding="utf-8") as f:
-        rows = [line.rstrip("\n").split("\t") for line in f]
+    rows = [files.read(files.join(target, n)).decode().rstrip("\n").split("\t") for n in files.names(target)]
     return spark.createDataFrame([(int(r[4]), r[5]) for r in rows], "code int, args string")
 
 
