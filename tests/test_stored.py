@@ -175,6 +175,7 @@ def test_string_keys_prune_fragments(spark, tmp_path):
     other = spark.createDataFrame([("n95   ", 1), ("n20   ", 2)], "name string, y int")
     catalog.add_frame("o", other, keys=["name"], unique=True)
     df = Engine(spark, catalog).query("x y", "o.name n90 n99")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count(">= n90") == 2
     assert [tuple(r) for r in df.collect()] == [(95, 1)]
 
 
