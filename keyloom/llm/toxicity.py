@@ -53,8 +53,9 @@ WINDOW = 8
 #: Share of the sample whose clean texts may hold misspellings of a term, before they count as ordinary words.
 ORDINARY = 2e-3
 LEAST = 3
-#: Terms with their places that a worker holds before it passes them on.
-PLACES_HELD = 200_000
+#: Terms, and terms with their places, that a worker holds before it passes them on.
+TERMS_HELD = 100_000
+PLACES_HELD = 100_000
 
 #: Signs of quotation and of address, in the languages of the corpus.
 QUOTE_MARKS = re.compile("[\"“”«»„‟‘]")
@@ -97,15 +98,22 @@ def learn_lexicon(sample: DataFrame) -> list[Term]:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bool, Counter[str]] = {True: Counter(), False: Counter()}
+
+        def flushed() -> pa.RecordBatch:
+            # a term of no toxic text is no candidate here; what this part lacks, another may have
+            names = list(counts[True] | counts[False])
+            columns = [pa.array(names, pa.string()), *(pa.array([counts[label][t] for t in names], pa.int64()) for label in (True, False))]
+            for own in counts.values():
+                own.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["term", "toxic", "clean"])
+
         for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                counts[label == 1].update({t for w in set(_words(text)) for t in _terms_of(w)})
-        names = [*counts[True].keys()]
-        # a term of no toxic text is no candidate; what this partition lacks, another may have
-        names += [t for t in counts[False] if t not in counts[True]]
-        for at in range(0, len(names), 50_000):
-            part = names[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([counts[True][t] for t in part], pa.int64()), pa.array([counts[False][t] for t in part], pa.int64())], names=["term", "toxic", "clean"])
+            for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
+                counts[label == 1].update({t for w in set(_words(text.as_py())) for t in _terms_of(w)})
+                # what comes in parts is summed below
+                if len(counts[True]) + len(counts[False]) >= TERMS_HELD:
+                    yield flushed()
+        yield flushed()
 
     totals = sample.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
     n_toxic, n_clean = int(totals[0] or 0), int(totals[1] or 0)
@@ -150,8 +158,8 @@ def context_counts(sample: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(found[0]), pa.string()), pa.array(list(found[1]), pa.int64())], names=["term", "place"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                words = ["", *_words(text), ""]
+            for text in batch.column("text"):
+                words = ["", *_words(text.as_py()), ""]
                 for before, word, after in zip(words, words[1:], words[2:], strict=False):
                     place = zlib.crc32(f"{before} {after}".encode())
                     seen.update((t, place) for t in _terms_of(word))
