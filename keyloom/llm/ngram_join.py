@@ -74,7 +74,7 @@ FREQUENT = 24
 GROUP_SIZE = 16
 #: Classes of an entry, not yet in one component, from which blocks take the place of pairs.
 CROWD = 24
-BLOCK = 1024
+BLOCK = 512
 #: Shared shingles of a class that look for a hub before the index is built.
 FIRST = 8
 #: Shingles that a block's matrix takes in at once.
