@@ -25,7 +25,7 @@ from .operators.engine import Engine
 from .operators.index import Indexes
 from .operators.sinks import binary_frames, header, text_lines, type_mask, write_binary_files, write_text_files
 from .plans.catalog import Catalog
-from .queries import _alone, _observations, _path, query
+from .queries import _observations, _path, query
 from .scratch import scratch_path
 from .sources import files
 from .sources.odl import parse_label
