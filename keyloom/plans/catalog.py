@@ -21,6 +21,8 @@ from ..sources.fragments import FORMAT, FragmentSource, dump_table
 from ..sources.schema import BitField, Field, SchemaError, TableDef, load_fragment, load_table
 
 LIST_NAMES = ("DATASET", "DATASET.LST", "DATASET.TXT")
+#: Names of Parquet files that a plan may list to leave them out.
+MOST_FILES = 10_000
 _ENDINGS = (".dat", ".tab", ".lbl")
 
 
@@ -63,7 +65,8 @@ class Table:
         """
         if self.frame is not None:
             frame = self.frame
-            if blocks is not None and (gone := [f for f, some in blocks.items() if not some]):
+            gone = [f for f, some in (blocks or {}).items() if not some]
+            if 0 < len(gone) <= MOST_FILES:
                 frame = frame.where(~F.col("_metadata.file_path").isin(gone))
             own = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_rec")] if places or (self.placed and not self.order) else []
             names = list(dict.fromkeys([*columns, *self.order]))
