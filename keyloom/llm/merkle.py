@@ -185,7 +185,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text has the last ``floor(n / 2)`` of the text's n code points
     replaced by the first as many (or all) of the next document.
     ``edited_paragraphs`` counts the different paragraphs that the edited text
-    lacks, ``first_edited`` is the place of the first of them, or null.
+    lacks, ``first_edited`` is the place of the first of them, or -1.
     """
     rows = with_next(two_columns(docs, id_col, text_col))
     n = F.char_length("text")
@@ -212,5 +212,5 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         likeness(F.col("own"), F.col("other")).alias("near_edited"),
         likeness(F.col("own"), F.col("next")).alias("near_next"),
         F.size("edits").cast("long").alias("edited_paragraphs"),
-        (F.array_position(paragraph_nodes(F.col("sections")), F.try_element_at("edits", F.lit(1))) - 1).alias("first_edited"),
+        F.coalesce(F.array_position(paragraph_nodes(F.col("sections")), F.try_element_at("edits", F.lit(1))) - 1, F.lit(-1)).cast("long").alias("first_edited"),
     )

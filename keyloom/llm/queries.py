@@ -97,7 +97,7 @@ def merkle_sql() -> str:
             FROM printed a JOIN printed b ON a.k = b.k AND a.side < 2 AND b.side = 1 - a.side),
         edits AS (SELECT a.k, list_filter(a.nodes, lambda p: NOT list_contains(b.nodes, p)) AS nodes FROM opened a JOIN opened b ON a.k = b.k AND a.side = 0 AND b.side = 1)
         SELECT doc_id, n_chars, e.sha AS edited_sha256, o.fingerprint AS fingerprint, e.fingerprint AS edited_fingerprint, x.likeness AS near_edited, y.likeness AS near_next,
-            list_unique(d.nodes)::BIGINT AS edited_paragraphs, list_position(o.nodes, d.nodes[1])::BIGINT - 1 AS first_edited
+            list_unique(d.nodes)::BIGINT AS edited_paragraphs, coalesce(list_position(o.nodes, d.nodes[1])::BIGINT - 1, -1) AS first_edited
         FROM pairs p JOIN printed o ON o.k = p.k AND o.side = 0 JOIN printed e ON e.k = p.k AND e.side = 1
         JOIN near x ON x.k = p.k AND x.side = 1 JOIN near y ON y.k = p.k AND y.side = 2 JOIN edits d ON d.k = p.k
     """
