@@ -25,7 +25,7 @@ from .operators.engine import Engine
 from .operators.index import Indexes
 from .operators.sinks import binary_frames, header, text_lines, type_mask, write_binary_files, write_text_files
 from .plans.catalog import Catalog
-from .queries import _observations, _path, query
+from .queries import _flat, _observations, _path, query
 from .scratch import scratch_path
 from .sources import files
 from .sources.odl import parse_label
@@ -141,9 +141,9 @@ def range_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _renamed(_stored(spark, sf_dir).plan("partkey steps[3:9]").flattened())
 
 
-@query(f"SELECT p_partkey::INTEGER AS partkey, {', '.join(f'CASE WHEN p_size % 5 >= {k} THEN {k} END AS sizes_{k}' for k in (1, 2, 3))} FROM part")
+@query(f"SELECT p_partkey::INTEGER AS partkey, {', '.join(f'CASE WHEN p_size % 5 >= {k} THEN {k}::DOUBLE END AS sizes_{k}' for k in (1, 2, 3))} FROM part")
 def stored_var_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _renamed(_stored(spark, sf_dir).plan("partkey sizes[1:3]").flattened())
+    return _flat(_stored(spark, sf_dir).plan("partkey sizes[1:3]").flattened())
 
 
 @query("SELECT p_partkey::INTEGER AS partkey, p_size * pow(2.0, p_size % 7 - 15) AS spectrum_1, -p_size * pow(2.0, p_size % 7 - 15) AS spectrum_2 FROM part")
