@@ -16,8 +16,10 @@ repeat an id are encoded each for itself; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -43,6 +45,12 @@ class Codec:
         self.tokens = [""] * (max([*bpe.vocab.values(), *bpe.special.values()]) + 1)
         for token, i in [*bpe.vocab.items(), *bpe.special.items()]:
             self.tokens[i] = token
+        self.names = list(map(str, range(len(self.tokens))))
+        #: First two letters -> letters of the longest token that begins with them and doesn't end a word.
+        self.reach: dict[str, int] = {}
+        for token in bpe.vocab:
+            if not token.endswith(END) and len(token) > self.reach.get(token[:2], 1):
+                self.reach[token[:2]] = len(token)
         self.known: dict[str, tuple[str, int, str]] = {}
         self.pairs = np.zeros(0, dtype=np.int64)
         self.verdicts = np.zeros(0, dtype=bool)
@@ -52,14 +60,14 @@ class Codec:
 
     def propose(self, spelled: str) -> list[int] | None:
         """Longest match from the left; the last token carries the end mark."""
-        vocab, longest = self.bpe.vocab, self.bpe.max_length
+        vocab, longest, reach = self.bpe.vocab, self.bpe.max_length, self.reach
         text, n, at, out = spelled + END, len(spelled), 0, []
         while at < n:
             if n - at + len(END) <= longest and (i := vocab.get(text[at:])) is not None:
                 out.append(i)
                 return out
             # a token that doesn't end the word leaves at least its last letter
-            for to in range(min(n - 1, at + longest), at, -1):
+            for to in range(min(n - 1, at + reach.get(text[at : at + 2], 1)), at, -1):
                 if (i := vocab.get(text[at:to])) is not None:
                     break
             else:
@@ -101,8 +109,8 @@ class Codec:
         """Ids of each word."""
         spelled = [self.bpe.spell(w) for w in words]
         proposals = [self.propose(s) for s in spelled]
-        flat = np.fromiter((i for p in proposals for i in p or ()), dtype=np.int64)
-        sizes = np.fromiter((len(p or ()) for p in proposals), dtype=np.int64, count=len(proposals))
+        flat = np.fromiter(chain.from_iterable(p for p in proposals if p), dtype=np.int64)
+        sizes = np.fromiter((len(p) if p else 0 for p in proposals), dtype=np.int64, count=len(proposals))
         starts = np.cumsum(sizes) - sizes
         good = sizes > 0
         if len(flat) > 1:
@@ -122,9 +130,9 @@ class Codec:
     def _learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > MEMORY:
             self.known.clear()
-        new = list(words)
+        new, known, names, tokens = list(words), self.known, self.names, self.tokens
         for word, ids in zip(new, self.encode_words(new), strict=True):
-            self.known[word] = (" ".join(map(str, ids)), len(ids), " ".join([self.tokens[i] for i in ids]))
+            known[word] = (names[ids[0]], 1, tokens[ids[0]]) if len(ids) == 1 else (" ".join([names[i] for i in ids]), len(ids), " ".join([tokens[i] for i in ids]))
 
     def encode_many(self, texts: list[str]) -> Iterator[tuple[str, int, str]]:
         """(ids joined by a space, their number, decoded text) of each text."""
@@ -135,23 +143,21 @@ class Codec:
             for special, words in parts:
                 if not special:
                     needed.update(words)
-        missing = {w for w in needed if w not in known}
+        missing = needed.difference(known)
         if missing:
             if len(known) + len(missing) > MEMORY:
                 known.clear()
                 missing = needed
             self._learn(missing)
         for parts in split:
-            ids, tokens, n = [], [], 0
+            entries = []
             for special, words in parts:
                 if special:
-                    entries = [(str(bpe.special[words]), 1, words)]
+                    entries.append((self.names[bpe.special[words]], 1, words))
                 else:
-                    entries = list(map(known.__getitem__, words))
-                ids += [e[0] for e in entries]
-                n += sum([e[1] for e in entries])
-                tokens += [e[2] for e in entries]
-            yield " ".join(ids), n, " ".join(tokens)
+                    entries += map(known.__getitem__, words)
+            ids, n, tokens = zip(*entries, strict=True) if entries else ((), (), ())
+            yield " ".join(ids), sum(n), " ".join(tokens)
 
 
 def decode(bpe: WordBpe, ids: list[int]) -> str:
@@ -199,11 +205,16 @@ def _encode(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, schema
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(sent.value)
-        for batch in batches:
-            for part in _groups(batch):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                rows = [shape(*r) for r in codec.encode_many(texts)]
-                arrays = [pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=columns)
+        # what is remembered of words has no cycles: looking for them costs time only
+        gc.disable()
+        try:
+            for batch in batches:
+                for part in _groups(batch):
+                    texts = [t or "" for t in part.column(1).to_pylist()]
+                    rows = [shape(*r) for r in codec.encode_many(texts)]
+                    arrays = [pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=columns)
+        finally:
+            gc.enable()
 
     return two_columns(docs, id_col, text_col).mapInArrow(encode, schema)

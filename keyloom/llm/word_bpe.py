@@ -61,6 +61,9 @@ class WordBpe:
 
     def spell(self, word: str) -> str:
         """A pre-token in the vocabulary's letters, without its end mark."""
+        # printable ASCII stands for itself
+        if word.isascii() and word.isprintable() and " " not in word:
+            return word
         letters = self.letters
         return "".join([letters[b] for b in word.encode()])
 
@@ -72,16 +75,17 @@ class WordBpe:
         return self._merge_short(parts) if len(parts) <= self.SHORT else self._merge_long(parts)
 
     def _merge_short(self, parts: list[str]) -> list[str]:
-        ranks, none = self.ranks, len(self.ranks)
-        while len(parts) > 1:
-            best, at = none, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get((parts[i], parts[i + 1]), none)
-                if rank < best:
-                    best, at = rank, i
-            if at < 0:
-                break
+        rank, none = self.ranks.get, len(self.ranks)
+        # ranks of the neighbours: a merge changes two of them
+        own = [rank(pair, none) for pair in zip(parts, parts[1:], strict=False)]
+        while own and (best := min(own)) < none:
+            at = own.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del own[at]
+            if at:
+                own[at - 1] = rank((parts[at - 1], parts[at]), none)
+            if at < len(own):
+                own[at] = rank((parts[at], parts[at + 1]), none)
         return parts
 
     def _merge_long(self, parts: list[str]) -> list[str]:
